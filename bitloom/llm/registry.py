@@ -6,8 +6,10 @@ import importlib
 
 #: Query name and the module that has it; a module's SQL, where it has one, is named SQL.
 MODULES = {
+    "op2_bpe": "op2_bpe",
     "op3_warc": "op3_warc",
     "op5_url_filters": "op5_url",
+    "op8_language_id": "op8_langid",
 }
 
 
