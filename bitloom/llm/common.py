@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows that any operator broadcasts with a hint; larger sides are shuffled instead.
@@ -67,7 +68,7 @@ def ddl(schema: pa.Schema) -> str:
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 8_000_000):
     """Slices of a batch whose binary or string column holds about `most` bytes each (one row at least)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(lengths):
         if i > start and held + n > most:

@@ -10,6 +10,7 @@ MODULES = {
     "op3_warc": "op3_warc",
     "op5_url_filters": "op5_url",
     "op8_language_id": "op8_langid",
+    "op10_pii": "op10_pii",
 }
 
 
