@@ -8,7 +8,9 @@ import importlib
 MODULES = {
     "op2_bpe": "op2_bpe",
     "op3_warc": "op3_warc",
+    "op4_html_extraction": "op4_html",
     "op5_url_filters": "op5_url",
+    "op6_exact_topk": "op6_topk",
     "op8_language_id": "op8_langid",
     "op10_pii": "op10_pii",
 }
