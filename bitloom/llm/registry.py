@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and the module that has it; a module's SQL, where it has one, is named SQL.
 MODULES = {
+    "op1_ngram_jaccard_join": "op1_jaccard",
     "op2_bpe": "op2_bpe",
     "op3_warc": "op3_warc",
     "op4_html_extraction": "op4_html",
