@@ -12,6 +12,7 @@ MODULES = {
     "op4_html_extraction": "op4_html",
     "op5_url_filters": "op5_url",
     "op6_exact_topk": "op6_topk",
+    "op7_decontamination": "op7_winnowing",
     "op8_language_id": "op8_langid",
     "op10_pii": "op10_pii",
 }
