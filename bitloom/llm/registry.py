@@ -14,6 +14,7 @@ MODULES = {
     "op6_exact_topk": "op6_topk",
     "op7_decontamination": "op7_winnowing",
     "op8_language_id": "op8_langid",
+    "op9_line_dedup": "op9_lines",
     "op10_pii": "op10_pii",
 }
 
