@@ -10,13 +10,14 @@ if |x & y| / |x | y| reaches the threshold (exact integers: 100 * common >= 75 *
    symmetric difference from below, so the overlap from above; pairs below the needed overlap go.
 3. Exact. The sorted arrays of the remaining pairs are intersected.
 
-Groups of thousands of near copies would meet in every tile they share, so components are first seeded: classes with an equal
-one of their least hashes are linked (if verified) to the first of them, a star and not all pairs; afterwards tiles yield only
-pairs of different components. That loses nothing: a pair inside a component cannot change the result.
+Groups of thousands of near copies would meet in every tile they share, so components are first grown by STAR_ROUNDS rounds of
+stars: in each shingle's group a member drawn by hash is paired with the others (a few leaders for each
+class), what is verified links, and later rounds leave out pairs inside a component. The last round yields every remaining pair of
+different components, tile by tile. That loses nothing: a pair inside a component cannot change the result.
 Which shingles count as frequent is estimated in each task; it affects cost, never results.
 
-Nothing of all documents is collected or broadcast: the frequent shingles are at most MAX_FREQUENT, the filters of needed ids have
-a fixed size of FILTER_BITS (if they fill up, more rows pass them).
+Nothing of all documents is collected or broadcast: the frequent shingles are at most MAX_FREQUENT, the filters of needed ids
+have a fixed size (if they fill up, more rows pass them).
 
 Edge cases: null or blank text has the empty set and links with nothing (component: the document itself); a document with fewer than five
 words has one shingle; rows with a null id get a row and take part with equal sets only; repeated rows are equal sets; an
@@ -32,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import arrow_schema, ddl, load, pieces, written
+from bitloom.llm.common import arrow_schema, ddl, id_filter, load, pieces, written
 from bitloom.llm.graph import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-SEEDS = 4
+#: Star rounds, and leaders that a class tries in the first and in later ones. The last round has no such bound.
+STAR_ROUNDS, FIRST_TRIES, LATER_TRIES = 3, 3, 8
 MAX_FREQUENT, LOCAL_COUNT, FREQUENT_DOCS = 200_000, 6, 24
-FILTER_BITS = 1 << 23
 BAND = 256
-PIECE = 4_000_000
+#: Classes of one shingle that a star round takes together.
+PART = 50_000
+PIECE = 1_000_000
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
@@ -153,7 +156,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
                         seen.add(mark)
                         held.append(s)
                         size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted()
                     held.clear()
                     size = 0
@@ -164,22 +167,22 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key").toArrow().column("key").to_numpy().view(np.uint64))
 
 
-_SETS = arrow_schema(id="long", n="long", s1="long", s2="long", seeds="longs", keys="longs", short="int", bits="binary")
+_SETS = arrow_schema(id="long", n="long", s1="long", s2="long", keys="longs", short="int", bits="binary")
 
 
 def _describe(docs: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
-    """A row per document: set size, digest, seeds, prefix keys (the first `short` of them as a smaller set) and bitmap."""
+    """A row per document: set size, digest, prefix keys (the first `short` of them as a smaller set) and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def row(s: np.ndarray):
         if not len(s):
-            return 0, None, None, None, None, 0, None
+            return 0, None, None, None, 0, None
         d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
         often = shared.value
         late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
         short, long_ = prefixes(len(s))
         keys = np.concatenate([s[~late][:long_], s[late][:long_]])[:long_]
-        return len(s), int(d[0]), int(d[1]), s[:SEEDS].view(np.int64), keys.view(np.int64), short, bitmap(s)
+        return len(s), int(d[0]), int(d[1]), keys.view(np.int64), short, bitmap(s)
 
     def apply(batches):
         for whole in batches:
@@ -190,26 +193,15 @@ def _describe(docs: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
     return docs.mapInArrow(apply, ddl(_SETS))
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds the ids' hashes."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select((place / 64).cast("bigint").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, elements) of the documents whose id may be among ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+    """(id, elements) of the documents whose id may be among ids (id)."""
     out = arrow_schema(id="long", elements="binary")
-    rows = docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("place"))
+    rows = docs.where("id is not null")
+    rows = rows.where(id_filter(ids, "id")(F.col("id"))).select("id", "text")
 
     def apply(batches):
         for whole in batches:
-            place = whole.column("place").to_numpy()
-            kept = whole.filter(pa.array((shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & _U(1) == 1))
-            for batch in pieces(kept, "text", PIECE):
+            for batch in pieces(whole, "text", PIECE):
                 sets = shingle_sets(batch.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
 
@@ -236,7 +228,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
 
     def exact(batches):
         for whole in batches:
-            for batch in pieces(whole, "x", 32_000_000):
+            for batch in pieces(whole, "x", 4_000_000):
                 c = {n: batch.column(n) for n in batch.schema.names}
                 keep = []
                 for a, b in zip(c["x"], c["y"]):
@@ -271,53 +263,125 @@ def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.n
                 yield np.minimum(u, v), np.maximum(u, v)
 
 
-def _tiles(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of classes (id, label, n, keys, short) with different labels that share a prefix shingle."""
-    rows = classes.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "id", "label", (F.col("n") * 2 + (F.col("at") < F.col("short")).cast("int")).alias("size"))
-    rows = rows.repartition("key").sortWithinPartitions("key")
+def _groups(batches, names):
+    """Arrays of the columns, cut so that no group of the first (by which they are sorted) is split."""
+    left = None
+    for batch in batches:
+        c = [batch.column(n).to_numpy() for n in names]
+        if left is not None:
+            c = [np.concatenate(x) for x in zip(left, c)]
+        if not len(c[0]):
+            continue
+        cut = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on in the next batch
+        if cut:
+            yield [x[:cut] for x in c]
+        left = [x[cut:] for x in c]
+    if left is not None and len(left[0]):
+        yield left
+
+
+def _edges_of(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, part, id, size) of the prefix shingles that several classes have.
+
+    size is doubled, and odd within the short prefix. part numbers runs of PART classes of a key, so that a later group by
+    (key, part) is bounded. A group streams through its task; one row of it is held.
+    """
+    rows = classes.select("id", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("n") * 2 + (F.col("at") < F.col("short")).cast("int")).alias("size"))
+    out = arrow_schema(key="long", part="long", id="long", size="long")
+
+    def apply(batches):
+        held, before = None, 0  # the last row, if nothing of its group is out yet; rows of its group so far
+        last = None
+        for batch in batches:
+            c = [batch.column(n).to_numpy() for n in ("key", "id", "size")]
+            if not len(c[0]):
+                continue
+            if held is not None:
+                c = [np.concatenate([x[:1], y]) for x, y in zip(held, c)]
+            edge = _edges_of(c[0])
+            sizes = np.diff(edge)
+            place = np.arange(len(c[0])) - np.repeat(edge[:-1], sizes)
+            goes_on = last is not None and c[0][0] == last and held is None
+            if goes_on:
+                place[: edge[1]] += before
+            out_ = np.repeat(sizes > 1, sizes)
+            if goes_on:
+                out_[: edge[1]] = True
+            alone = not out_[-1]  # the last row may find others in the next batch
+            held = [x[-1:] for x in c] if alone else None
+            last, before = c[0][-1], int(place[-1]) + 1
+            if out_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[0][out_]), pa.array(place[out_] // PART), pa.array(c[1][out_]), pa.array(c[2][out_])], schema=out)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out))
+
+
+def _labelled(members: DataFrame, labels) -> DataFrame:
+    if labels is None:
+        rows = members.withColumn("label", F.col("id"))
+    else:
+        rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return rows.select("key", "part", "id", "label", "size")
+
+
+def _stars(members: DataFrame, labels) -> DataFrame:
+    """Candidate pairs (u, v): of each shingle's classes (of a part), one drawn by hash with each of another label and fitting size."""
+    out = arrow_schema(u="long", v="long")
+
+    def apply(batches):
+        for key, id_, label, size in _groups(batches, ("key", "id", "label", "size")):
+            edge = _edges_of(key)
+            sizes = np.diff(edge)
+            with np.errstate(over="ignore"):
+                draw = (_mix(key[edge[:-1]].view(np.uint64) ^ _U(0x5851F42D4C957F2D)) % sizes.astype(np.uint64)).astype(np.int64)
+            # rows of a group are in no set order: the drawn one is taken by rank of id
+            order = np.lexsort((id_, key))
+            lead = np.repeat(order[edge[:-1] + draw], sizes)
+            n, m = size >> 1, size[lead] >> 1
+            ok = (label != label[lead]) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(id_[lead][ok]), pa.array(id_[ok])], schema=out)
+
+    rows = _labelled(members, labels).withColumn("key", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")))
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out))
+    tries = FIRST_TRIES if labels is None else LATER_TRIES
+    few = pairs.groupBy("v").agg(*[F.min_by("u", F.xxhash64("u", "v", F.lit(k))).alias(f"u{k}") for k in range(tries)])
+    pairs = few.select(F.explode(F.array(*[f"u{k}" for k in range(tries)])).alias("u"), "v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _tiles(members: DataFrame, labels) -> DataFrame:
+    """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes."""
     out = arrow_schema(u="long", v="long")
 
+    def packed(us, vs):
+        p = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], schema=out)
+
     def apply(batches):
-        left = None
-
-        def whole_tiles(c):
-            """Pairs of complete shingle groups."""
-            key = c[0]
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            many = np.flatnonzero(np.diff(edge) > 1)
-            if not len(many):
-                return
-            lo, hi = np.minimum.reduceat(c[2], edge[:-1]), np.maximum.reduceat(c[2], edge[:-1])
+        for key, id_, label, size in _groups(batches, ("key", "id", "label", "size")):
+            edge = _edges_of(key)
+            mixed = np.flatnonzero(np.minimum.reduceat(label, edge[:-1]) < np.maximum.reduceat(label, edge[:-1]))
             us, vs, held = [], [], 0
-            for k in many[lo[many] < hi[many]]:
+            for k in mixed:
                 part = slice(edge[k], edge[k + 1])
-                for u, v in tile_pairs(c[1][part], c[2][part], c[3][part] >> 1, (c[3][part] & 1) == 1):
+                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1):
                     us.append(u)
                     vs.append(v)
                     held += len(u)
-                if held > 500_000:
-                    yield from packed(us, vs)
-                    us, vs, held = [], [], 0
+                    if held > 200_000:
+                        yield packed(us, vs)
+                        us, vs, held = [], [], 0
             if us:
-                yield from packed(us, vs)
-
-        def packed(us, vs):
-            p = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], schema=out)
+                yield packed(us, vs)
 
-        for batch in batches:
-            c = [batch.column(n).to_numpy() for n in ("key", "id", "label", "size")]
-            if left is not None:
-                c = [np.concatenate(x) for x in zip(left, c)]
-            if not len(c[0]):
-                continue
-            cut = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on in the next batch
-            yield from whole_tiles([x[:cut] for x in c]) if cut else ()
-            left = [x[cut:] for x in c]
-        if left is not None and len(left[0]):
-            yield from whole_tiles(left)
-
-    return rows.mapInArrow(apply, ddl(out)).distinct()
+    rows = written(_labelled(members, labels))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    return rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
 
 
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -327,17 +391,19 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     sets = described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     sets = written(sets.where("id is not null"))
     whole = described.where("id is not null")
-    reps = written(whole.join(sets.select("id", "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "seeds", "keys", "short", "bits"))
-
-    seeds = reps.select("id", F.explode("seeds").alias("seed"))
-    first = seeds.groupBy("seed").agg(F.min("id").alias("u"), F.count("*").alias("c")).where("c > 1").select("seed", "u")
-    stars = seeds.join(first, "seed").where("id <> u").select("u", F.col("id").alias("v")).distinct()
-    links = _verified(stars, reps.select("id", "n", "bits"), rows, words)
-    labels = connected_components(links)
-
-    labelled = reps.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = _verified(_tiles(labelled), reps.select("id", "n", "bits"), rows, words)
-    final = connected_components(links.unionAll(more))
+    reps = written(whole.join(sets.select("id", "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "keys", "short", "bits"))
+
+    members = written(_members(reps))
+    classes = reps.select("id", "n", "bits")
+    links = labels = None
+    for _ in range(STAR_ROUNDS):
+        new = _verified(_stars(members, labels), classes, rows, words)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionAll(new)
+        labels = connected_components(links)
+    more = _verified(_tiles(members, labels), classes, rows, words)
+    final = connected_components(more if links is None else links.unionAll(more))
 
     named = sets.join(final, "id", "left").where("copies > 1 or label is not null").select("s1", "s2", F.coalesce("label", "id").alias("component"))
     out = described.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
