@@ -33,21 +33,38 @@ SPREAD, LANES, PACKED_WORDS = (1 << 45) + (1 << 30) + (1 << 15) + 1, (1 << 48) +
 
 
 def lines_of(docs: DataFrame, text: str, id_: str, min_words: int) -> DataFrame:
-    """(doc, line, h1, h2, words) of each line that counts; h1, h2 hash its normalised words."""
+    """(doc, line, h1, h2, size, words) of each line that counts; h1, h2 hash its normalised words, size is their length.
+
+    One pattern decides whether a line has enough words: the filter is pushed below the projection and repeats what it reads.
+    """
     rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("bigint").alias("doc"), F.posexplode_outer(F.split(text, "\n")).alias("line", "raw"))
     rows = rows.select("doc", "line", F.trim(F.regexp_replace(F.lower("raw"), GAP, " ")).alias("words")).where(F.col("line").isNotNull())
-    rows = rows.where(F.length("words") - F.length(F.replace("words", F.lit(" "))) >= min_words - 1).where("words <> ''")
-    return rows.select("doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), "words")
+    rows = rows.where(F.col("words").rlike("^[^ ]+" + "( [^ ]+)" * (min_words - 1)))
+    return rows.select("doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.length("words").alias("size"), "words")
 
 
 def _shift(x, n):
     return F.call_function("shiftrightunsigned", x, F.lit(n))
 
 
-def simhashes(classes: DataFrame) -> DataFrame:
-    """(h1, h2, simhash, size) of classes (h1, h2, words): a bit is set if more than half of the words' hashes have it."""
+def simhashes(classes: DataFrame, long_lines: bool = True) -> DataFrame:
+    """(h1, h2, simhash, size) of classes (h1, h2, words): a bit is set if more than half of the words' hashes have it.
+
+    long_lines: whether any class may have more than PACKED_WORDS words.
+    """
+    if not long_lines:
+        return _packed_simhashes(classes.select("h1", "h2", F.length("words").alias("size"), "words"))
     words = classes.select("h1", "h2", F.length("words").alias("size"), (F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1).alias("n"), "words")
-    each = words.where(F.col("n") <= PACKED_WORDS).select("h1", "h2", "size", F.explode_outer(F.split("words", " ")).alias("word")).select("h1", "h2", "size", F.xxhash64("word").alias("x"))
+    short = _packed_simhashes(words.where(F.col("n") <= PACKED_WORDS))
+    bits = words.where(F.col("n") > PACKED_WORDS).select("h1", "h2", "size", "n", F.explode_outer(F.split("words", " ")).alias("word"))
+    bits = bits.select("h1", "h2", "size", "n", F.xxhash64("word").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    bits = bits.groupBy("h1", "h2", "size", "n", "bit").agg(F.sum(F.expr("shiftrightunsigned(x, bit) & 1")).alias("s"))
+    long_ = bits.groupBy("h1", "h2", "size").agg(F.bit_or(F.when(F.col("s") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))).alias("simhash"))
+    return short.unionByName(long_)
+
+
+def _packed_simhashes(words: DataFrame) -> DataFrame:
+    each = words.select("h1", "h2", "size", F.explode_outer(F.split("words", " ")).alias("word")).select("h1", "h2", "size", F.xxhash64("word").alias("x"))
     lanes = [F.sum((_shift(F.col("x"), 4 * i).bitwiseAND(15) * SPREAD).bitwiseAND(LANES)).alias(f"s{i}") for i in range(16)]
     sums = each.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), *lanes)
     bias = (F.lit(16384) - (F.floor(F.col("n") / 2) + 1)) * LANES
@@ -56,12 +73,7 @@ def simhashes(classes: DataFrame) -> DataFrame:
     packed = four(F.col("b0"))
     for i in range(1, 16):
         packed = packed.bitwiseOR(F.call_function("shiftleft", four(F.col(f"b{i}")), F.lit(4 * i)))
-    short = marked.select("h1", "h2", packed.alias("simhash"), "size")
-    bits = words.where(F.col("n") > PACKED_WORDS).select("h1", "h2", "size", "n", F.explode_outer(F.split("words", " ")).alias("word"))
-    bits = bits.select("h1", "h2", "size", "n", F.xxhash64("word").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    bits = bits.groupBy("h1", "h2", "size", "n", "bit").agg(F.sum(F.expr("shiftrightunsigned(x, bit) & 1")).alias("s"))
-    long_ = bits.groupBy("h1", "h2", "size").agg(F.bit_or(F.when(F.col("s") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))).alias("simhash"))
-    return short.unionByName(long_)
+    return marked.select("h1", "h2", packed.alias("simhash"), "size")
 
 
 def block_keys(simhash, hamming: int):
@@ -72,37 +84,54 @@ def block_keys(simhash, hamming: int):
     return F.array(*[F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, lines: DataFrame, hamming: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of class ids that link."""
-    sides = [classes.select(F.col("h1").alias(k), F.col("simhash").alias(f"s_{k}"), F.col("size").alias(f"n_{k}")) for k in "uv"]
-    near = pairs.join(sides[0], "u").join(sides[1], "v")
-    near = near.where(F.bit_count(F.col("s_u").bitwiseXOR(F.col("s_v"))) <= hamming).where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
-    near = written(near.select("u", "v").distinct())
+#: (a, b) without their common beginning and end, down to 1/256 of the length; the edit distance stays.
+_TRIMMED = (
+    "aggregate(sequence(1, 8), struct(a, b), (s, k) -> if(left(s.a, shiftright(m, k)) = left(s.b, shiftright(m, k)), struct(substring(s.a, shiftright(m, k) + 1) as a, substring(s.b, shiftright(m, k) + 1) as b), s))",
+    "aggregate(sequence(1, 8), ab, (s, k) -> if(right(s.a, shiftright(m, k)) = right(s.b, shiftright(m, k)), struct(left(s.a, length(s.a) - shiftright(m, k)) as a, left(s.b, length(s.b) - shiftright(m, k)) as b), s))",
+)
+
+
+def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of class ids whose texts are alike."""
+    near = written(pairs)
     ids = near.select(F.col("u").alias("id")).unionAll(near.select(F.col("v").alias("id"))).distinct()
     maybe = id_filter(ids, "id")
     texts = lines.where(maybe(F.col("h1"))).select(F.col("h1").alias("id"), "words").join(ids, "id", "left_semi")
     texts = written(texts.groupBy("id").agg(F.first("words").alias("words")))
     both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
-    return written(both.withColumn("most", most).where(F.expr("levenshtein(a, b, most) >= 0")).select("u", "v"))
+    both = both.select("u", "v", "a", "b", most.alias("most"), F.least(F.length("a"), F.length("b")).alias("m")).select("u", "v", "most", F.expr(_TRIMMED[0]).alias("ab"))
+    both = both.select("u", "v", "most", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", F.expr(_TRIMMED[1]).alias("ab"))
+    # Bounds from above decide most pairs: the longer rest, and the words that differ if both have as many.
+    both = both.select("u", "v", "most", "ab", F.expr("split(ab.a, ' ')").alias("x"), F.expr("split(ab.b, ' ')").alias("y"))
+    words = "aggregate(zip_with(x, y, (p, q) -> if(p = q, 0, greatest(length(p), length(q)))), 0, (s, n) -> s + n)"
+    edits = f"case when greatest(length(ab.a), length(ab.b)) <= most then 0 when size(x) = size(y) and {words} <= most then 0 else levenshtein(ab.a, ab.b, most) end"
+    # Written before it is filtered, so that the filter is not pushed below what it reads.
+    return written(both.select("u", "v", F.expr(edits).alias("edits"))).where("edits >= 0").select("u", "v")
 
 
 def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int) -> DataFrame:
     """(u, v): links of class ids (h1), enough of them to give every component."""
-    keys = classes.select(F.col("h1").alias("id"), F.explode_outer(block_keys(F.col("simhash"), hamming)).alias("key"))
+    keys = classes.select(F.col("h1").alias("id"), "simhash", "size", F.explode_outer(block_keys(F.col("simhash"), hamming)).alias("key"))
     met = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     met = written(met)
     maybe = id_filter(met, "key")
-    members = written(keys.where(maybe(F.col("key"))).join(met, "key").select("key", "id", "least"))
-    stars = _alike(members.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct(), classes, lines, hamming, percent)
+    members = written(keys.where(maybe(F.col("key"))).join(met, "key").select("key", "id", "simhash", "size", "least"))
+
+    def fits(s, n):
+        close = F.bit_count(F.col("simhash").bitwiseXOR(F.col(s))) <= hamming
+        return close & (F.least("size", n) * 100 >= F.greatest("size", n) * percent)
+
+    heads = members.where("id = least").select(F.col("id").alias("least"), F.col("simhash").alias("s"), F.col("size").alias("n")).distinct()
+    stars = members.where("id <> least").join(heads, "least").where(fits("s", "n")).groupBy("id").agg(F.min("least").alias("least"))
+    stars = _alike(stars.select(F.col("least").alias("u"), F.col("id").alias("v")), lines, percent)
     labels = connected_components(stars)
-    labelled = written(members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).join(classes.select(F.col("h1").alias("id"), "simhash"), "id"))
+    labelled = written(members.drop("least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     mixed = written(labelled.join(mixed, "key", "left_semi"))
-    x, y = (mixed.select("key", F.col("id").alias(i), F.col("label").alias(f"l_{i}"), F.col("simhash").alias(f"s_{i}")) for i in "uv")
-    apart = (F.col("l_u") < F.col("l_v")) & (F.bit_count(F.col("s_u").bitwiseXOR(F.col("s_v"))) <= hamming)
-    more = _alike(x.join(y, "key").where(apart).select("u", "v").distinct(), classes, lines, hamming, percent)
-    return stars.unionAll(more)
+    other = mixed.select("key", F.col("id").alias("v"), F.col("label").alias("l"), F.col("simhash").alias("s"), F.col("size").alias("n"))
+    more = mixed.join(other, "key").where(F.col("label") < F.col("l")).where(fits("s", "n")).select(F.col("id").alias("u"), "v").distinct()
+    return stars.unionAll(_alike(more, lines, percent))
 
 
 def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming: int = HAMMING, percent: int = SIMILARITY_PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -113,12 +142,14 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
     occurrences = path_lines.select("h1", "h2", place().alias("place"))
     first = written(occurrences.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     distinct = path_lines.groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    classes = written(simhashes(distinct))
+    some_long = not path_lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
+    classes = written(simhashes(distinct, some_long))
     groups = connected_components(links(path_lines, classes, hamming, percent))
-    grouped = first.join(groups.select(F.col("id").alias("h1"), "label"), "h1")
+    in_group = id_filter(groups, "id")
+    grouped = written(first.where(in_group(F.col("h1"))).join(groups.select(F.col("id").alias("h1"), "label"), "h1"))
     heads = grouped.groupBy("label").agg(F.min("first").alias("head"))
     heads = grouped.join(heads, "label").select("h1", "h2", "head")
-    stays = first.join(heads, ["h1", "h2"], "left").where("n > 1 or head <> first").select("h1", "h2", F.coalesce("head", "first").alias("head"))
+    stays = first.where((F.col("n") > 1) | in_group(F.col("h1"))).join(heads, ["h1", "h2"], "left").where("n > 1 or head <> first").select("h1", "h2", F.coalesce("head", "first").alias("head"))
     stays = written(stays)
     maybe = id_filter(stays, "h1")
     again = path_lines.where(maybe(F.col("h1"))).select("h1", "h2", "doc", "line", place().alias("place"))
@@ -129,7 +160,7 @@ def _packed(df: DataFrame) -> DataFrame:
     from bitloom.llm.common import work_dir
 
     path = f"{work_dir(df.sparkSession)}/lines"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -142,7 +173,7 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -
     some = F.coalesce(maybe(key) & F.col(id_).isNotNull(), F.lit(False))
     lines = F.split(F.col(text), "\n")
     whole = docs.where(~some).withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("__n_removed", F.lit(0).cast("bigint"))
-    cut = docs.where(some).withColumn("__id", F.col(id_).cast("bigint")).join(which, F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
+    cut = docs.where(some).withColumn("__id", F.col(id_).cast("bigint")).join(which.hint("merge"), F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
     kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))), "\n"))
     cut = cut.withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn(text, kept).withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")).drop("__gone")
     return whole.unionByName(cut)
