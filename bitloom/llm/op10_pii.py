@@ -151,9 +151,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", support:
     near = scanned.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term")
     pairs = near.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     entities = near.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = docs.agg(F.count("*").alias("n"))
+    total = docs.agg(F.count("*").alias("n")).scalar()
     terms = term_counts(docs, pairs.select("term").distinct(), text)
-    x = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
+    x = pairs.join(entities, "entity").join(terms, "term").withColumn("n", total)
     # n_t counts rows: copies make it larger, and a term less disclosing, never more.
     pmi = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     return x.select("entity", "term", F.when(F.col("n") > F.col("n_e"), pmi / F.log(F.col("n") / F.col("n_e"))).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
