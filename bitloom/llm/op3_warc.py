@@ -54,6 +54,8 @@ def _quoted(url) -> bytes:
     """A URL as a field of an ARC line: no blanks or line ends; '-' is null."""
     if url is None:
         return b"-"
+    if url == "-":
+        return b"%2D"
     return b"".join(b"%%%02X" % c if c <= 32 or c in (37, 127) else bytes([c]) for c in url.encode()) or b"%"
 
 
