@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import arrow_schema, ddl, id_filter, load, pieces, written
+from bitloom.llm.common import arrow_schema, ddl, id_filter, load, pieces, release, written
 from bitloom.llm.graph import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -241,10 +241,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
     return written(joined.mapInArrow(exact, "u bigint, v bigint"))
 
 
-def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, band: int = BAND):
-    """(u, v) arrays of the pairs of one shingle that have different labels and sizes within the threshold, tile by tile."""
+def _folded(arrays: list, width: int) -> np.ndarray:
+    """Bitmaps (arrays of words, powers of two long) as rows of the given width, which is that of the narrowest."""
+    return np.stack([np.bitwise_xor.reduce(a.reshape(-1, width), axis=0) for a in arrays])
+
+
+def _bounded(x: list, y: list, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave pairs (x[i], y[j]) of set sizes n[i], m[j] the overlap they need."""
+    keep = np.ones(len(i), bool)
+    wide_x, wide_y = np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y))
+    narrow = np.minimum(wide_x[i], wide_y[j])
+    most = n[i] + m[j]
+    most -= 2 * -(-NUMERATOR * most // (DENOMINATOR + NUMERATOR))  # of the symmetric difference
+    for width in np.unique(narrow).tolist():
+        at = np.flatnonzero(narrow == width)
+        rows, a = np.unique(i[at], return_inverse=True)
+        cols, b = np.unique(j[at], return_inverse=True)
+        left, right = _folded([x[k] for k in rows], width), _folded([y[k] for k in cols], width)
+        step = max(1, (1 << 20) // width)
+        for k in range(0, len(at), step):
+            differ = np.bitwise_count(left[a[k : k + step]] ^ right[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+            keep[at[k : k + step]] = differ <= most[at[k : k + step]]
+    return keep
+
+
+def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, bits=None, band: int = BAND):
+    """(u, v) arrays of the pairs of one shingle that have different labels, sizes within the threshold and bitmaps that allow a link, tile by tile.
+
+    bits: each member's bitmap (None: sizes alone decide).
+    """
     order = np.argsort(size, kind="stable")
     rep, label, size, short = rep[order], label[order], size[order], short[order]
+    words = None if bits is None else [np.frombuffer(bits[k], np.uint64) for k in order]
     n = len(rep)
     for a in range(0, n, band):
         x = slice(a, min(a + band, n))
@@ -258,6 +286,9 @@ def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.n
             if a == b:
                 ok &= np.arange(x.stop - a)[:, None] < np.arange(y.stop - b)
             i, j = np.nonzero(ok)
+            if len(i) and words is not None:
+                keep = _bounded(words[x], words[y], size[x], size[y], i, j)
+                i, j = i[keep], j[keep]
             if len(i):
                 u, v = rep[x][i], rep[y][j]
                 yield np.minimum(u, v), np.maximum(u, v)
@@ -267,7 +298,7 @@ def _groups(batches, names):
     """Arrays of the columns, cut so that no group of the first (by which they are sorted) is split."""
     left = None
     for batch in batches:
-        c = [batch.column(n).to_numpy() for n in names]
+        c = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
         if left is not None:
             c = [np.concatenate(x) for x in zip(left, c)]
         if not len(c[0]):
@@ -354,8 +385,11 @@ def _stars(members: DataFrame, labels) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _tiles(members: DataFrame, labels) -> DataFrame:
-    """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes."""
+def _tiles(members: DataFrame, labels, classes: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes and bitmaps.
+
+    Only members of shingles with more than one label carry their bitmaps here.
+    """
     out = arrow_schema(u="long", v="long")
 
     def packed(us, vs):
@@ -363,13 +397,13 @@ def _tiles(members: DataFrame, labels) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], schema=out)
 
     def apply(batches):
-        for key, id_, label, size in _groups(batches, ("key", "id", "label", "size")):
+        for key, id_, label, size, bits in _groups(batches, ("key", "id", "label", "size", "bits")):
             edge = _edges_of(key)
             mixed = np.flatnonzero(np.minimum.reduceat(label, edge[:-1]) < np.maximum.reduceat(label, edge[:-1]))
             us, vs, held = [], [], 0
             for k in mixed:
                 part = slice(edge[k], edge[k + 1])
-                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1):
+                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1, bits[part]):
                     us.append(u)
                     vs.append(v)
                     held += len(u)
@@ -381,7 +415,8 @@ def _tiles(members: DataFrame, labels) -> DataFrame:
 
     rows = written(_labelled(members, labels))
     mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    return rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
+    rows = written(rows.join(mixed, "key", "left_semi").drop("part"))
+    return rows.join(classes.select("id", "bits"), "id").repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
 
 
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -402,7 +437,8 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
             break
         links = new if links is None else links.unionAll(new)
         labels = connected_components(links)
-    more = _verified(_tiles(members, labels), classes, rows, words)
+        release(docs.sparkSession)
+    more = _verified(_tiles(members, labels, classes), classes, rows, words)
     final = connected_components(more if links is None else links.unionAll(more))
 
     named = sets.join(final, "id", "left").where("copies > 1 or label is not null").select("s1", "s2", F.coalesce("label", "id").alias("component"))

@@ -22,12 +22,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import id_filter, load, written
+from bitloom.llm.common import id_filter, load, release, written
 from bitloom.llm.graph import connected_components
 
 HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 3
-#: Fixed value: gaps between words of a lower-case line.
-GAP = r"[\x00-\x60\x7B-\x7F]+"
+#: Gaps between words of a lower-case line, as character ranges (the line feed is none); of these, those that are not one space already.
+GAP, NOT_SPACE = r"[\x00-\x09\x0B-\x60\x7B-\x7F]", r"[\x00-\x09\x0B-\x1F\x21-\x60\x7B-\x7F]"
+GAPS = f"{NOT_SPACE}{GAP}*| {GAP}+"
 #: Fixed values of the packed sums: four bits of a hash are spread to four lanes of 16 bits.
 SPREAD, LANES, PACKED_WORDS = (1 << 45) + (1 << 30) + (1 << 15) + 1, (1 << 48) + (1 << 32) + (1 << 16) + 1, 32_000
 
@@ -35,11 +36,12 @@ SPREAD, LANES, PACKED_WORDS = (1 << 45) + (1 << 30) + (1 << 15) + 1, (1 << 48) +
 def lines_of(docs: DataFrame, text: str, id_: str, min_words: int) -> DataFrame:
     """(doc, line, h1, h2, size, words) of each line that counts; h1, h2 hash its normalised words, size is their length.
 
-    One pattern decides whether a line has enough words: the filter is pushed below the projection and repeats what it reads.
+    The whole text is normalised below the generator, so that the filter above it does not repeat that.
     """
-    rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("bigint").alias("doc"), F.posexplode_outer(F.split(text, "\n")).alias("line", "raw"))
-    rows = rows.select("doc", "line", F.trim(F.regexp_replace(F.lower("raw"), GAP, " ")).alias("words")).where(F.col("line").isNotNull())
-    rows = rows.where(F.col("words").rlike("^[^ ]+" + "( [^ ]+)" * (min_words - 1)))
+    normal = F.regexp_replace(F.lower(text), GAPS, " ")
+    rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("bigint").alias("doc"), F.posexplode_outer(F.split(normal, "\n")).alias("line", "raw"))
+    rows = rows.where(F.col("line").isNotNull()).select("doc", "line", F.trim("raw").alias("words"))
+    rows = rows.where(F.substring_index("words", " ", min_words - 1) != F.col("words")) if min_words > 1 else rows.where("words <> ''")
     return rows.select("doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.length("words").alias("size"), "words")
 
 
@@ -100,12 +102,14 @@ def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     texts = written(texts.groupBy("id").agg(F.first("words").alias("words")))
     both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
-    both = both.select("u", "v", "a", "b", most.alias("most"), F.least(F.length("a"), F.length("b")).alias("m")).select("u", "v", "most", F.expr(_TRIMMED[0]).alias("ab"))
-    both = both.select("u", "v", "most", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", F.expr(_TRIMMED[1]).alias("ab"))
-    # Bounds from above decide most pairs: the longer rest, and the words that differ if both have as many.
-    both = both.select("u", "v", "most", "ab", F.expr("split(ab.a, ' ')").alias("x"), F.expr("split(ab.b, ' ')").alias("y"))
+    both = both.select("u", "v", "a", "b", most.alias("most"), F.expr("split(a, ' ')").alias("x"), F.expr("split(b, ' ')").alias("y"))
+    # Bounds from above decide most pairs: the words that differ, if both have as many; else the longer rest without common ends.
     words = "aggregate(zip_with(x, y, (p, q) -> if(p = q, 0, greatest(length(p), length(q)))), 0, (s, n) -> s + n)"
-    edits = f"case when greatest(length(ab.a), length(ab.b)) <= most then 0 when size(x) = size(y) and {words} <= most then 0 else levenshtein(ab.a, ab.b, most) end"
+    both = both.select("u", "v", "a", "b", "most", F.expr(f"size(x) = size(y) and {words} <= most").alias("sure"))
+    both = both.select("u", "v", "most", "sure", F.expr("if(sure, '', a)").alias("a"), F.expr("if(sure, '', b)").alias("b"))
+    both = both.select("u", "v", "most", "sure", "a", "b", F.least(F.length("a"), F.length("b")).alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[0]).alias("ab"))
+    both = both.select("u", "v", "most", "sure", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[1]).alias("ab"))
+    edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 else levenshtein(ab.a, ab.b, most) end"
     # Written before it is filtered, so that the filter is not pushed below what it reads.
     return written(both.select("u", "v", F.expr(edits).alias("edits"))).where("edits >= 0").select("u", "v")
 
@@ -141,10 +145,16 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
     place = lambda: (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(11,0)")).cast("decimal(38,0)")
     occurrences = path_lines.select("h1", "h2", place().alias("place"))
     first = written(occurrences.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    distinct = path_lines.groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    # Only words of lines that may be repeated are shuffled to make them distinct.
+    repeated = id_filter(first.where("n > 1"), "h1")(F.col("h1"))
+    distinct = path_lines.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    distinct = path_lines.where(~repeated).select("h1", "h2", "words").unionByName(distinct)
     some_long = not path_lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
     classes = written(simhashes(distinct, some_long))
+    del distinct
+    release(docs.sparkSession)
     groups = connected_components(links(path_lines, classes, hamming, percent))
+    release(docs.sparkSession)
     in_group = id_filter(groups, "id")
     grouped = written(first.where(in_group(F.col("h1"))).join(groups.select(F.col("id").alias("h1"), "label"), "h1"))
     heads = grouped.groupBy("label").agg(F.min("first").alias("head"))
