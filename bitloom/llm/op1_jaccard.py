@@ -41,6 +41,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 STAR_ROUNDS, FIRST_TRIES, LATER_TRIES = 3, 3, 8
 MAX_FREQUENT, LOCAL_COUNT, FREQUENT_DOCS = 200_000, 6, 24
 BAND = 256
+#: Prefix shingles before a tile's own that its rows carry.
+BEFORE = 4
 #: Classes of one shingle that a star round takes together.
 PART = 50_000
 PIECE = 1_000_000
@@ -265,14 +267,16 @@ def _bounded(x: list, y: list, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: n
     return keep
 
 
-def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, bits=None, band: int = BAND):
+def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, bits=None, key: int = 0, before=None, band: int = BAND):
     """(u, v) arrays of the pairs of one shingle that have different labels, sizes within the threshold and bitmaps that allow a link, tile by tile.
 
-    bits: each member's bitmap (None: sizes alone decide).
+    bits: each member's bitmap (None: sizes alone decide). before: a row for each member, the prefix shingles that come before this one (key
+    where there is none). Pairs that have one of them in common have met there already; the first meeting is never left out.
     """
     order = np.argsort(size, kind="stable")
     rep, label, size, short = rep[order], label[order], size[order], short[order]
     words = None if bits is None else [np.frombuffer(bits[k], np.uint64) for k in order]
+    earlier = None if before is None else before[order]
     n = len(rep)
     for a in range(0, n, band):
         x = slice(a, min(a + band, n))
@@ -286,6 +290,12 @@ def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.n
             if a == b:
                 ok &= np.arange(x.stop - a)[:, None] < np.arange(y.stop - b)
             i, j = np.nonzero(ok)
+            if len(i) and earlier is not None:
+                met = np.zeros(len(i), bool)
+                for p in range(earlier.shape[1]):
+                    at = earlier[x, p][i]
+                    met |= (at != key) & (at[:, None] == earlier[y][j]).any(axis=1)
+                i, j = i[~met], j[~met]
             if len(i) and words is not None:
                 keep = _bounded(words[x], words[y], size[x], size[y], i, j)
                 i, j = i[keep], j[keep]
@@ -385,25 +395,28 @@ def _stars(members: DataFrame, labels) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _tiles(members: DataFrame, labels, classes: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, labels, reps: DataFrame) -> DataFrame:
     """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes and bitmaps.
 
-    Only members of shingles with more than one label carry their bitmaps here.
+    Only members of shingles with more than one label carry their bitmaps here, and the BEFORE shingles before this one, by which a pair
+    with many common shingles is left out of most tiles.
     """
     out = arrow_schema(u="long", v="long")
+    earlier = [f"b{k}" for k in range(BEFORE)]
 
     def packed(us, vs):
         p = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], schema=out)
 
     def apply(batches):
-        for key, id_, label, size, bits in _groups(batches, ("key", "id", "label", "size", "bits")):
+        for key, id_, label, size, bits, *before in _groups(batches, ("key", "id", "label", "size", "bits", *earlier)):
+            before = np.stack(before, 1)
             edge = _edges_of(key)
             mixed = np.flatnonzero(np.minimum.reduceat(label, edge[:-1]) < np.maximum.reduceat(label, edge[:-1]))
             us, vs, held = [], [], 0
             for k in mixed:
                 part = slice(edge[k], edge[k + 1])
-                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1, bits[part]):
+                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1, bits[part], int(key[edge[k]]), before[part]):
                     us.append(u)
                     vs.append(v)
                     held += len(u)
@@ -416,7 +429,10 @@ def _tiles(members: DataFrame, labels, classes: DataFrame) -> DataFrame:
     rows = written(_labelled(members, labels))
     mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     rows = written(rows.join(mixed, "key", "left_semi").drop("part"))
-    return rows.join(classes.select("id", "bits"), "id").repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
+    mine = reps.where(id_filter(rows.select("id"), "id")(F.col("id"))).select("id", "bits", "keys")
+    rows = rows.join(mine, "id").withColumn("at", F.array_position("keys", F.col("key")).cast("int"))
+    rows = rows.select("key", "id", "label", "size", "bits", *[F.coalesce(F.get("keys", F.col("at") - 2 - k), F.col("key")).alias(b) for k, b in enumerate(earlier)])
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
 
 
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -438,7 +454,7 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
         links = new if links is None else links.unionAll(new)
         labels = connected_components(links)
         release(docs.sparkSession)
-    more = _verified(_tiles(members, labels, classes), classes, rows, words)
+    more = _verified(_tiles(members, labels, reps), classes, rows, words)
     final = connected_components(more if links is None else links.unionAll(more))
 
     named = sets.join(final, "id", "left").where("copies > 1 or label is not null").select("s1", "s2", F.coalesce("label", "id").alias("component"))

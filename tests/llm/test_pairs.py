@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,31 @@ def test_jaccard_parts():
     assert found == {(0, 1), (0, 2), (1, 2)}
 
 
+def test_tiles_with_bitmaps_and_earlier_shingles():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 120, np.uint64)
+    sets = []
+    for _ in range(60):
+        kept = base[rng.random(120) > rng.choice([0.02, 0.1, 0.25])]
+        sets.append(np.unique(np.r_[kept, rng.integers(1, 1 << 62, rng.integers(1, 30), np.uint64)]))
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if (c := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+    assert linked
+    keys = [s[: op1_jaccard.prefixes(len(s))[1]].view(np.int64) for s in sets]
+    plain, lean, bounded = Counter(), Counter(), Counter()
+    for key in sorted({k for ks in keys for k in ks.tolist()}):
+        at = {i: ks.tolist().index(key) for i, ks in enumerate(keys) if key in ks}
+        rep = np.array(list(at))
+        size = np.array([len(sets[i]) for i in rep])
+        short = np.array([at[i] < op1_jaccard.prefixes(len(sets[i]))[0] for i in rep])
+        before = np.array([[keys[i][at[i] - 1 - k] if at[i] > k else key for k in range(op1_jaccard.BEFORE)] for i in rep])
+        bits = np.array([op1_jaccard.bitmap(sets[i]) for i in rep], object)
+        for into, options in ((plain, {}), (lean, {"key": key, "before": before}), (bounded, {"bits": bits, "key": key, "before": before})):
+            for u, v in op1_jaccard.tile_pairs(rep, rep, size, short, band=16, **options):
+                into.update(zip(u.tolist(), v.tolist()))
+    assert set(plain) == set(lean) and lean.total() < plain.total() / 2
+    assert linked <= set(bounded) < set(plain)
+
+
 def test_matches_sql(spark, sf_dir, same_rows):
     same_rows(op1_jaccard.op1_ngram_jaccard_join(spark, sf_dir), op1_jaccard.SQL)
 
