@@ -429,6 +429,7 @@ def _tiles(members: DataFrame, labels, reps: DataFrame) -> DataFrame:
     rows = written(_labelled(members, labels))
     mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     rows = written(rows.join(mixed, "key", "left_semi").drop("part"))
+    release(rows.sparkSession)
     mine = reps.where(id_filter(rows.select("id"), "id")(F.col("id"))).select("id", "bits", "keys")
     rows = rows.join(mine, "id").withColumn("at", F.array_position("keys", F.col("key")).cast("int"))
     rows = rows.select("key", "id", "label", "size", "bits", *[F.coalesce(F.get("keys", F.col("at") - 2 - k), F.col("key")).alias(b) for k, b in enumerate(earlier)])
