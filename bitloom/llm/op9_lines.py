@@ -2,11 +2,13 @@
 
 A line is normalised to its lower-case words (runs of letters; digits and marks are gaps). Lines of equal words form classes; classes
 link if their 64-bit SimHashes (over words) differ in at most HAMMING bits and the edit similarity of their normalised texts,
-1 - Levenshtein / longer length, is at least SIMILARITY. Of each connected group the first occurrence stays (least
+1 - Levenshtein / longer length, is at least SIMILARITY. The query and the pipeline ask for `minima` instead of SimHashes: classes
+are compared if two minima of MINIMA hashes over their word shingles, next to each other, are equal (LSH), since edits of 10 % of a line
+move a SimHash by far more bits than blocks can cover. Of each connected group the first occurrence stays (least
 document id, then line number), all other lines of it go. Lines of fewer than MIN_WORDS words always stay.
 
 Candidates: a hash is cut into HAMMING + 2 blocks; two blocks at least agree within HAMMING bits, so classes meet by
-pairs of blocks (pigeonhole). Each meeting place first links its members to its least one, a star; components of what is
+pairs of blocks (pigeonhole), or by pairs of minima. Each meeting place first links its members to its least one, a star; components of what is
 verified follow, and then only pairs of different components meet, so a group of thousands of variants yields no square of
 pairs and no link between components is lost. SimHash bits are summed four to a long, 16 bits each.
 
@@ -26,6 +28,8 @@ from bitloom.llm.common import id_filter, load, release, written
 from bitloom.llm.graph import connected_components
 
 HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 3
+#: Minima of shingle hashes, for candidates of edit similarity alone; words of a shingle, and of one of a line of fewer than SHORT words.
+MINIMA, SHINGLE, SHORT_SHINGLE, SHORT = 12, 3, 2, 12
 #: Gaps between words of a lower-case line, as character ranges (the line feed is none); of these, those that are not one space already.
 GAP, NOT_SPACE = r"[\x00-\x09\x0B-\x60\x7B-\x7F]", r"[\x00-\x09\x0B-\x1F\x21-\x60\x7B-\x7F]"
 GAPS = f"{NOT_SPACE}{GAP}*| {GAP}+"
@@ -78,6 +82,19 @@ def _packed_simhashes(words: DataFrame) -> DataFrame:
     return marked.select("h1", "h2", packed.alias("simhash"), "size")
 
 
+def sketches(classes: DataFrame, minima: int = MINIMA) -> DataFrame:
+    """(h1, h2, simhash, size, keys) of classes (h1, h2, words): a key for each two neighbouring minima of the shingles' hashes; simhash is 0."""
+    n = F.size("x")
+    each = classes.select("h1", "h2", F.length("words").alias("size"), F.split("words", " ").alias("x"))
+    last = F.greatest(n - F.when(n < SHORT, SHORT_SHINGLE).otherwise(SHINGLE), F.lit(0))
+    each = each.select("h1", "h2", "size", "x", F.explode_outer(F.sequence(F.lit(0), last)).alias("i"))
+    word = [F.get("x", F.col("i") + k) for k in range(SHINGLE)]
+    each = each.select("h1", "h2", "size", F.when(n < SHORT, F.xxhash64(*word[:SHORT_SHINGLE])).otherwise(F.xxhash64(*word)).alias("x"))
+    least = each.groupBy("h1", "h2", "size").agg(*[F.min(F.xxhash64("x", F.lit(k))).alias(f"m{k}") for k in range(minima)])
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"m{k}"), F.col(f"m{(k + 1) % minima}")) for k in range(minima)])
+    return least.select("h1", "h2", F.lit(0).cast("bigint").alias("simhash"), "size", keys.alias("keys"))
+
+
 def block_keys(simhash, hamming: int):
     """An array with a key for each pair of the hash's hamming + 2 blocks."""
     n = hamming + 2
@@ -116,8 +133,9 @@ def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int) -> DataFrame:
     """(u, v): links of class ids (h1), enough of them to give every component."""
-    keys = classes.select(F.col("h1").alias("id"), "simhash", "size", F.explode_outer(block_keys(F.col("simhash"), hamming)).alias("key"))
-    met = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), hamming)
+    keys = classes.select(F.col("h1").alias("id"), "simhash", "size", F.explode_outer(blocks).alias("key"))
+    met = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     met = written(met)
     maybe = id_filter(met, "key")
     members = written(keys.where(maybe(F.col("key"))).join(met, "key").select("key", "id", "simhash", "size", "least"))
@@ -138,8 +156,8 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int) -> D
     return stars.unionAll(_alike(more, lines, percent))
 
 
-def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming: int = HAMMING, percent: int = SIMILARITY_PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, line): the lines that go."""
+def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming: int = HAMMING, percent: int = SIMILARITY_PERCENT, min_words: int = MIN_WORDS, minima: int = 0) -> DataFrame:
+    """(doc, line): the lines that go. With minima, candidates are found by so many of them, and hamming is not used."""
     lines = lines_of(docs, text, id_, min_words)
     path_lines = _packed(lines)
     place = lambda: (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(11,0)")).cast("decimal(38,0)")
@@ -149,8 +167,11 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
     repeated = id_filter(first.where("n > 1"), "h1")(F.col("h1"))
     distinct = path_lines.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     distinct = path_lines.where(~repeated).select("h1", "h2", "words").unionByName(distinct)
-    some_long = not path_lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
-    classes = written(simhashes(distinct, some_long))
+    if minima:
+        classes = written(sketches(distinct, minima))
+    else:
+        some_long = not path_lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
+        classes = written(simhashes(distinct, some_long))
     del distinct
     release(docs.sparkSession)
     groups = connected_components(links(path_lines, classes, hamming, percent))
@@ -190,5 +211,5 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), minima=MINIMA)
     return out.select("doc_id", F.greatest("__n_lines", F.lit(0)).alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op9_lines.dedup(docs)
+    out = op9_lines.dedup(docs, minima=op9_lines.MINIMA)
     out = out.where((F.col("__n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     return out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(docs.columns)
 

@@ -309,3 +309,23 @@ def test_lines_edges(spark):
     assert op9_lines.dedup(docs_of(spark, [])).collect() == []
     got = op9_lines.dedup(docs_of(spark, [(1, "a b c\na b c"), (1, "a b c\na b c"), (2, "a b c")])).select("doc_id", "text", "__n_lines", "__n_removed").collect()
     assert sorted(map(tuple, got)) == [(1, "a b c", 2, 1), (1, "a b c", 2, 1), (2, "", 1, 1)]
+
+
+def test_lines_recall(spark, tmp_path):
+    """Against edit similarity alone: lines of which words are replaced, put in, or misspelt, 90 % alike at least."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 11)))
+    rows = []
+    while len(rows) < 200:
+        words = [word() for _ in range([8, 15, 30, 60][len(rows) // 50])]
+        new = list(words)
+        for _ in range(rng.choice([1, 1, 2, 3]) if len(words) < 60 else rng.randrange(1, len(words) // 12)):
+            at = rng.randrange(len(new))
+            new[at] = rng.choice([word(), new[at] + " " + word(), new[at][1:] + "x"])
+        a, b = " ".join(words), " ".join(new)
+        if a != b and distance(a, b) <= max(len(a), len(b)) // 10:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs_of(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in op9_lines.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(removed[k] == 0 for k in range(0, 200, 2))
+    assert sum(removed.values()) >= 0.95 * 100
