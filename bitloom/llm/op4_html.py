@@ -4,7 +4,7 @@ A page's markup is cut into text blocks, each with its path of elements. A linea
 (kinds of elements and class words on the path, length, link density, sentence marks) gives a log-odds cost, which becomes the capacity
 from the source (content) or to the sink (boilerplate). Smoothness edges join neighbouring blocks, the stronger the more
 of their paths they share, and blocks of the same parent. The minimum cut labels the blocks; a block on the source's side is content.
-Blocks in the subtree of scripts, styles and the like are never text.
+Blocks in the subtree of scripts, styles and the like are never text; a drawing (svg) that closes itself or has no end tag is only a tag.
 
 Each page is labelled alone, in linear space; the maximum flow is found by shortest augmenting paths.
 
@@ -26,8 +26,8 @@ from bitloom.llm.common import load, pieces
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe svg select title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced menclose semantics annotation object canvas q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -82,6 +82,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float, float]]:
     text: list = []
     linked = [0]
     number = 0
+    unclosed: set = set()
 
     def flush():
         if text:
@@ -130,11 +131,14 @@ def blocks(page: str) -> list[tuple[str, tuple, float, float]]:
                     break
             continue
         if name in RAW:
-            if name not in ("object", "canvas", "svg", "math", "select") and m["rest"].endswith("/") and name != "script":
+            if name not in ("select", "script") and m["rest"].endswith("/") or name in unclosed:
                 continue
             end = _END.get(name) or _END.setdefault(name, re.compile(rf"</{name}\s*>|</{name}(?=\s)[^>]*>", re.I))
             e = end.search(page, at)
-            if name in ("title", "select", "textarea", "object", "template"):
+            if e is None and name == "svg":
+                unclosed.add(name)
+                continue
+            if name in ("title", "select", "textarea", "template"):
                 flush()
             at = e.end() if e else n
             continue

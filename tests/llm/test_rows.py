@@ -159,6 +159,22 @@ def test_extraction_cases(page, want):
     assert op4_html.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "inner,want",
+    [
+        ("<svg width='1'/>", ""),
+        ("<svg>", ""),
+        ("<math/>", ""),
+        ("<svg/><svg><text>no</text></svg>", ""),
+        ("<math><mi>x</mi><mo>+</mo><mn>1</mn></math> ", "x+1 "),
+        ("<object data='a'>Kept here. </object><canvas>And this. </canvas>", "Kept here. And this. "),
+    ],
+)
+def test_extraction_of_embedded(inner, want):
+    page = f"<article><p>First para is here. {inner}It goes on.</p><p>Second para.</p></article>"
+    assert op4_html.extract(page) == f"First para is here. {want}It goes on. Second para."
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(150):
