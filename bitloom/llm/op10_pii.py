@@ -2,8 +2,9 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns. Each distinct value found is a protected entity. A term
 is a word within `window` words of an entity's occurrence. Over all documents, with rows of equal text counted once,
-    IC(e) = log(N / n(e)),   PMI(e, t) = log(N * n(e, t) / (n(e) * n(t))),   disclosure = PMI / IC
-where n counts distinct texts. A pair with n(e, t) >= `support` and disclosure >= `remove_at` (`generalise_at`) is
+    IC(e) = log(N / n(e)),   PMI(e, t) = log(P(t | e) * N / n(t)),   disclosure = PMI / IC
+with P(t | e) = (n(e, t) + n(t) / N) / (n(e) + 1), smoothed by one text of the corpus, so that entities of one text count with caution;
+n counts distinct texts. A pair with n(e, t) >= `support` and disclosure >= `remove_at` (`generalise_at`) is
 removed (generalised) wherever t stands in the window of e: these are the spans of kind `term`. Documents without base spans
 never get any. `sanitise` rewrites texts: entities become [EMAIL] etc., terms [TERM] (generalised) or nothing (removed).
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import load, pieces, written
 
 #: Words before and after an entity; least distinct texts of a pair; disclosure from which a term is generalised, or removed.
-WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.7, 0.9
+WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 1, 0.7, 0.9
 #: Least letters of a term.
 MIN_LETTERS = 3
 #: The contract's patterns.
@@ -155,7 +156,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", support:
     terms = term_counts(docs, pairs.select("term").distinct(), text)
     x = pairs.join(entities, "entity").join(terms, "term").withColumn("n", total)
     # n_t counts rows: copies make it larger, and a term less disclosing, never more.
-    pmi = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    n_t = F.greatest("n_t", "n_et")
+    pmi = F.log((F.col("n_et") + n_t / F.col("n")) / (F.col("n_e") + 1) * F.col("n") / n_t)
     return x.select("entity", "term", F.when(F.col("n") > F.col("n_e"), pmi / F.log(F.col("n") / F.col("n_e"))).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
 
 

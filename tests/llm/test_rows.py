@@ -352,3 +352,7 @@ def test_pii_query(spark, sf_dir):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in op10_pii.KINDS]
         joined = op10_pii.joined(base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+
+
+def test_pii_query_has_terms(spark, sf_dir):
+    assert any("term:" in r.spans for r in op10_pii.op10_pii(spark, sf_dir).collect())
