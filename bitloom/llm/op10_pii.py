@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import load, pieces, written
+from bitloom.llm.common import id_filter, load, pieces, written
 
 #: Words before and after an entity; least distinct texts of a pair; disclosure from which a term is generalised, or removed.
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 1, 0.7, 0.9
@@ -141,6 +141,15 @@ def scan(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: int =
     return docs.select(F.col(id_).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(apply, _OUT)
 
 
+def distinct_texts(docs: DataFrame, text: str = "text"):
+    """(text) of each distinct text that is not null, and their number as a column. Only texts that may be repeated are shuffled."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"))
+    marks = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")))
+    repeated = id_filter(marks.where("n > 1"), "h1")(F.col("h1"))
+    again = rows.where(repeated).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    return rows.where(~repeated).select("text").unionAll(again.select("text")), marks.agg(F.count("*").alias("n")).scalar()
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, n_t): distinct texts that have each of the terms. Words are summed before they are shuffled."""
     words = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("term"))
@@ -152,10 +161,10 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", support:
     near = scanned.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term")
     pairs = near.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     entities = near.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    terms = term_counts(docs, pairs.select("term").distinct(), text)
-    x = pairs.join(entities, "entity").join(terms, "term").withColumn("n", total)
-    # n_t counts rows: copies make it larger, and a term less disclosing, never more.
+    texts, total = distinct_texts(docs, text)
+    terms = term_counts(texts, pairs.select("term").distinct())
+    # Left, as Java and Python may differ in what a rare letter's lower case is.
+    x = pairs.join(entities, "entity").join(terms, "term", "left").withColumn("n", total)
     n_t = F.greatest("n_t", "n_et")
     pmi = F.log((F.col("n_et") + n_t / F.col("n")) / (F.col("n_e") + 1) * F.col("n") / n_t)
     return x.select("entity", "term", F.when(F.col("n") > F.col("n_e"), pmi / F.log(F.col("n") / F.col("n_e"))).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise_at)

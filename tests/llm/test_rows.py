@@ -356,3 +356,12 @@ def test_pii_query(spark, sf_dir):
 
 def test_pii_query_has_terms(spark, sf_dir):
     assert any("term:" in r.spans for r in op10_pii.op10_pii(spark, sf_dir).collect())
+
+
+def test_terms_of_a_text_with_many_copies(spark):
+    rows = [(k, f"common words number {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]} stand here") for k in range(1000)]
+    rows += [(2000 + k, f"Zanzibarov wrote from rare@corp.example on day {'xyz'[k]}") for k in range(3)]
+    rows += [(5000 + k, rows[1000][1]) for k in range(3000)]
+    got = {r.doc_id: r.terms for r in op10_pii.detect(docs_of(spark, rows)).collect()}
+    for k in (2000, 2001, 2002, 5000, 7999):
+        assert (0, 10) in {(x.start, x.end) for x in got[k]}
