@@ -1,11 +1,11 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence.
 
 Base spans (email, ip, card, phone) come from fixed patterns. Each distinct value found is a protected entity. A term
-is a word within `window` words of an entity's occurrence. Over all documents, with rows of equal text counted once,
+is a word, outside of all base spans, of a text that holds the entity. Over all documents, with rows of equal text counted once,
     IC(e) = log(N / n(e)),   PMI(e, t) = log(P(t | e) * N / n(t)),   disclosure = PMI / IC
 with P(t | e) = (n(e, t) + n(t) / N) / (n(e) + 1), smoothed by one text of the corpus, so that entities of one text count with caution;
 n counts distinct texts. A pair with n(e, t) >= `support` and disclosure >= `remove_at` (`generalise_at`) is
-removed (generalised) wherever t stands in the window of e: these are the spans of kind `term`. Documents without base spans
+removed (generalised) wherever t stands in a document that holds e: these are the spans of kind `term`. Documents without base spans
 never get any. `sanitise` rewrites texts: entities become [EMAIL] etc., terms [TERM] (generalised) or nothing (removed).
 
 Statistics are joins and sums by (entity, term) with map-side aggregation; nothing of the corpus is
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import id_filter, load, pieces, written
+from bitloom.llm.common import id_filter, load, pieces, release, written
 
-#: Words before and after an entity; least distinct texts of a pair; disclosure from which a term is generalised, or removed.
-WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 1, 0.7, 0.9
+#: Least distinct texts of a pair; disclosure from which a term is generalised, or removed.
+SUPPORT, GENERALISE_AT, REMOVE_AT = 1, 0.7, 0.9
 #: Least letters of a term.
 MIN_LETTERS = 3
 #: The contract's patterns.
@@ -96,33 +96,25 @@ def _value(kind: str, raw: str) -> str:
     return kind + ":" + (raw.lower() if kind == "email" else raw if kind == "ip" else "".join(_DIGIT.findall(raw)))
 
 
-def windows(text: str, spans, window: int = WINDOW):
-    """(entity, term, start, end) of the words near each span; words inside any span are none."""
-    near = 400 + 40 * window  # characters looked at on a side at first; more if that has too few words
-    for kind, a, b in spans:
-        entity = _value(kind, text[a:b])
-        for before in (True, False):
-            reach = near
-            while True:
-                lo, hi = (max(0, a - reach), a) if before else (b, min(len(text), b + reach))
-                found = [m.span() for m in _WORD.finditer(text, lo, hi)]
-                cut = (lo > 0) if before else (hi < len(text))
-                if cut and found:  # the outermost word may be cut
-                    found = found[1:] if before else found[:-1]
-                if len(found) >= window or not cut:
-                    break
-                reach *= 4
-            for s, e in found[-window:] if before else found[:window]:
-                if e - s >= MIN_LETTERS and not any(x < e and s < y for _, x, y in spans):
-                    yield entity, text[s:e].lower(), s, e
+def entities_and_words(text: str, spans):
+    """The distinct entities of a text, and (term, start, end) of its words outside of all spans."""
+    covered = sorted((a, b) for _, a, b in spans)
+    words, k, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(covered) and covered[k][0] < e:
+            reach = max(reach, covered[k][1])
+            k += 1
+        if e - s >= MIN_LETTERS and reach <= s:
+            words.append((m[0].lower(), s, e))
+    return sorted({_value(kind, text[a:b]) for kind, a, b in spans}), words
 
 
-_OUT = "doc bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, digest string, near array<struct<entity:string,term:string,start:bigint,end:bigint>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_OUT = "doc bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, digest string, entities array<string>, words array<struct<term:string,start:bigint,end:bigint>>"
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-
-def scan(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """Base spans of each row, and the terms near them."""
+def scan(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """Base spans of each row and, where it has any, its entities and words."""
 
     def apply(batches):
         for whole in batches:
@@ -132,11 +124,12 @@ def scan(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: int =
                     spans = base_spans(t) if t else []
                     counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
                     base = joined(spans)
-                    near = [dict(zip(("entity", "term", "start", "end"), x)) for x in windows(t, spans, window)] if spans else None
-                    rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), base, hashlib.md5(t.encode()).hexdigest() if spans else None, near))
+                    entities, words = entities_and_words(t, spans) if spans else (None, None)
+                    words = words and [dict(zip(("term", "start", "end"), x)) for x in words]
+                    rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), base, hashlib.md5(t.encode()).hexdigest() if spans else None, entities, words))
                 columns = list(zip(*rows))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [_NEAR]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "digest", "near"])
+                kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.list_(pa.string()), _WORDS]
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "digest", "entities", "words"])
 
     return docs.select(F.col(id_).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(apply, _OUT)
 
@@ -158,9 +151,11 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
 
 def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, disclosure) of the pairs that reach generalise_at."""
-    near = scanned.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term")
-    pairs = near.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    entities = near.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    # One row per text before its entities and words are paired.
+    one = written(scanned.where("digest is not null").groupBy("digest").agg(F.first("entities").alias("entities"), F.array_distinct(F.first("words")["term"]).alias("terms")))
+    entities = one.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = one.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     texts, total = distinct_texts(docs, text)
     terms = term_counts(texts, pairs.select("term").distinct())
     # Left, as Java and Python may differ in what a rare letter's lower case is.
@@ -170,14 +165,16 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text", support:
     return x.select("entity", "term", F.when(F.col("n") > F.col("n_e"), pmi / F.log(F.col("n") / F.col("n_e"))).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
 
 
-def detect(docs: DataFrame, text: str = "text", id_: str = "doc_id", window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", id_: str = "doc_id", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """A row per row of docs: doc_id, counts, base_sha256, base, and `terms` (array of start, end, action) or null."""
-    scanned = written(scan(docs, text, id_, window))
-    found = disclosing(docs, scanned, text, support, generalise_at)
-    near = scanned.where("near is not null and doc is not null").select("doc", F.explode("near").alias("x")).select("doc", "x.*")
-    hits = near.join(found, ["entity", "term"]).groupBy("doc", "start", "end").agg(F.max("disclosure").alias("d"))
+    scanned = written(scan(docs, text, id_))
+    found = written(disclosing(docs, scanned, text, support, generalise_at))
+    release(docs.sparkSession)
+    maybe = id_filter(found, "term")
+    words = scanned.where("digest is not null and doc is not null").select("doc", F.explode("entities").alias("entity"), "words").select("doc", "entity", F.explode("words").alias("x")).select("doc", "entity", "x.*").where(maybe(F.col("term")))
+    hits = words.join(found, ["entity", "term"]).groupBy("doc", "start", "end").agg(F.max("disclosure").alias("d"))
     terms = hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.when(F.col("d") >= remove_at, "remove").otherwise("generalise").alias("action")))).alias("terms"))
-    return scanned.drop("digest", "near").join(terms, "doc", "left").withColumnRenamed("doc", id_)
+    return scanned.drop("digest", "entities", "words").join(terms, "doc", "left").withColumnRenamed("doc", id_)
 
 
 def sanitise(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:

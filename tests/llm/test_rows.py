@@ -365,3 +365,11 @@ def test_terms_of_a_text_with_many_copies(spark):
     got = {r.doc_id: r.terms for r in op10_pii.detect(docs_of(spark, rows)).collect()}
     for k in (2000, 2001, 2002, 5000, 7999):
         assert (0, 10) in {(x.start, x.end) for x in got[k]}
+
+
+def test_terms_far_from_the_entity(spark):
+    rows = [(k, f"plain filler words {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} again") for k in range(100)]
+    rows.append((500, "Zanzibarov came. " + "plain filler words again " * 30 + "rare@corp.example " + "plain filler words again " * 30 + "zanzibarov left"))
+    got = {r.doc_id: r.terms for r in op10_pii.detect(docs_of(spark, rows)).collect()}
+    text = rows[-1][1]
+    assert [text[x.start : x.end].lower() for x in got[500]].count("zanzibarov") == 2
