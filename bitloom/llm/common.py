@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -23,15 +23,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new path below the session's spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and set.
+    Where neither that setting nor setCheckpointDir() names a folder, a local one is made if the session runs in one process (tests, a
+    laptop); on a cluster that is an error, as executors would not see each other's files.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_bitloom_work", None)
     if not base:
-        base = getattr(spark.sparkContext, "_bitloom_work", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-            spark.sparkContext._bitloom_work = base
-            spark.sparkContext.setCheckpointDir(base)
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = context._bitloom_work = "file://" + tempfile.mkdtemp(prefix="bitloom-")
+        atexit.register(_remove, spark, base)
     path = f"{base.rstrip('/')}/bitloom-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -46,41 +48,74 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written to the shared folder and read back."""
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of the queries that run within are deleted when each ends, not when the driver's collector finds them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, level: int = 0) -> DataFrame:
+    """df cut from its lineage: written to the shared folder and read back. Its shuffle files go at once, the table with drop().
+
+    level: of zstd, for large tables of text; 0: the session's compression.
+    """
     path = f"{work_dir(df.sparkSession)}/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with cleaned(df.sparkSession):
+        writer = df.write
+        if level:
+            writer = writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
+        writer.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._bitloom_path = path
+    return table
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps: it acts when the driver's JVM collects what nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing will read any more. What is not dropped goes when the driver ends."""
+    for table in tables:
+        _remove(table.sparkSession, table._bitloom_path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; reads no more of it than that takes."""
-    return df.limit(limit + 1).count() <= limit
+    with cleaned(df.sparkSession):
+        return df.limit(limit + 1).count() <= limit
 
 
-#: Bits of id_filter(); with many more ids than this it lets more rows pass, and costs no more.
-FILTER_BITS = 1 << 23
+#: Bits of id_filter() for each id, and the least (32 KB) and most bits (8 MB) it has.
+FILTER_RATE, FILTER_LEAST, FILTER_BITS = 16, 1 << 18, 1 << 26
 
 
 def id_filter(ids: DataFrame, column: str):
-    """A function of a column: whether it may be among the ids. Its bits are of a fixed size, and built by an aggregation.
+    """A function of a column: whether it may be among the ids, wrong for one of FILTER_RATE others.
 
-    For columns without null. It spares shuffling what an equi-join would drop afterwards.
+    The bits are built by an aggregation, as many as the number of ids asks for. With more ids than FILTER_BITS would
+    serve, everything may be among them: the equi-join that always follows then does the work alone. For columns without null.
     """
-    bits = FILTER_BITS // 64
+    with cleaned(ids.sparkSession):
+        n = ids.count()
+    if n * 4 > FILTER_BITS:
+        return lambda x: F.lit(True)
+    size = min(FILTER_BITS, max(FILTER_LEAST, 1 << (n * FILTER_RATE).bit_length()))
 
     def place(x):
-        return F.pmod(F.xxhash64(x, F.lit(7)), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(x, F.lit(7)), F.lit(size))
 
     at = place(F.col(column))
     words = ids.select(F.floor(at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("b"))
-    words = words.unionAll(ids.sparkSession.range(bits).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("bigint").alias("b")))
+    words = words.unionAll(ids.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("bigint").alias("b")))
     one = words.groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
     table = one.scalar()
     return lambda x: F.call_function("shiftrightunsigned", F.get(table, F.floor(place(x) / 64).cast("int")), F.pmod(place(x), F.lit(64)).cast("int")).bitwiseAND(1) == 1

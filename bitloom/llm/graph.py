@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import written
+from bitloom.llm.common import drop, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         of_u, of_v = move.select(F.col("id").alias("u"), F.col("label").alias("a")), move.select(F.col("id").alias("v"), F.col("label").alias("b"))
         moved = e.join(of_u, "u").select("a", "v").join(of_v, "v").where("a <> b")
-        e = written(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        after = written(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        drop(e)
+        e = after
+    drop(e)
     if not moves:
         return edges.select(F.col("u").alias("id"), F.col("u").alias("label")).where("false")
     found = moves[0]
     for move in moves[1:]:
         step = move.select(F.col("id").alias("label"), F.col("label").alias("next"))
         found = found.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
-    return written(found)
+    out = written(found)
+    drop(*moves)
+    return out
+
+
+def led(members: DataFrame, labels, turn: int, sizes) -> DataFrame:
+    """members (key, id, ...) of the keys that still have several labels, with their label and, of each key, one member drawn by hash.
+
+    labels: (id, label), or None: each id is its own. lead, lead_label and, for the columns `sizes`, lead_size and so on are the drawn one's.
+    Keys are summed up on the map side, and joined as a side of unique keys.
+    """
+    rows = members.drop("label", "lead", "lead_label", *[f"lead_{c}" for c in sizes])
+    rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    lead = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "label", *sizes))
+    keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), lead.alias("x")).where("a < b")
+    keys = keys.select("key", F.col("x.id").alias("lead"), F.col("x.label").alias("lead_label"), *[F.col(f"x.{c}").alias(f"lead_{c}") for c in sizes])
+    return written(rows.join(keys, "key"))

@@ -4,47 +4,51 @@ A document's set has its distinct word 5-grams as 64-bit hashes. Documents of eq
 if |x & y| / |x | y| reaches the threshold (exact integers: 100 * common >= 75 * union). The result is each document's component.
 
 1. Tiles. In one order of all shingles (frequent ones last, else by hash), linked sets share an element of their prefixes:
-   the first |y| - ceil(t |y|) + 1 of the larger, |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller. Rows (shingle, class, size) meet by shingle; within
-   a shingle, members sorted by size are cut into bands, and only tiles of bands whose sizes are compatible are compared.
+   the first |y| - ceil(t |y|) + 1 of the larger, |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller. Classes meet by shingle. A shingle's
+   classes are cut into bands by size (within a band by hash), and only tiles of bands whose sizes are compatible are made. A tile
+   has some TILE rows on each side and is the unit that is dealt to tasks, so that a shingle of any number of classes is spread.
 2. Signatures. Each class has a hashed parity bitmap of a width that its size gives. Bits that differ bound the
-   symmetric difference from below, so the overlap from above; pairs below the needed overlap go.
+   symmetric difference from below, so the overlap from above; pairs below the needed overlap go. Tiles carry the bitmaps folded to about one
+   bit an element, which keeps the bound; what is left is bounded again by the full ones.
 3. Exact. The sorted arrays of the remaining pairs are intersected.
 
 Groups of thousands of near copies would meet in every tile they share, so components are first grown by STAR_ROUNDS rounds of
-stars: in each shingle's group a member drawn by hash is paired with the others (a few leaders for each
-class), what is verified links, and later rounds leave out pairs inside a component. The last round yields every remaining pair of
+stars: for each shingle a class drawn by hash is paired with the others (a few leaders for each
+class), what is verified links, and later rounds leave out shingles and pairs inside a component. The last round yields every remaining pair of
 different components, tile by tile. That loses nothing: a pair inside a component cannot change the result.
 Which shingles count as frequent is estimated in each task; it affects cost, never results.
 
 Nothing of all documents is collected or broadcast: the frequent shingles are at most MAX_FREQUENT, the filters of needed ids
-have a fixed size (if they fill up, more rows pass them).
+have a bounded size. Tables between steps are deleted once read.
 
 Edge cases: null or blank text has the empty set and links with nothing (component: the document itself); a document with fewer than five
-words has one shingle; rows with a null id get a row and take part with equal sets only; repeated rows are equal sets; an
-empty table gives an empty result.
+words has one shingle; texts of any length are taken whole, and a set of any size (a task holds one text at a time beyond PIECE bytes); rows
+with a null id get a row and take part with equal sets only; repeated rows are equal sets; rows of one id with different texts are one
+document, which links by each of them; other columns than the id's and the text's are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import arrow_schema, ddl, id_filter, load, pieces, release, written
-from bitloom.llm.graph import connected_components
+from bitloom.llm.common import arrow_schema, ddl, drop, id_filter, load, pieces, small, written
+from bitloom.llm.graph import connected_components, led
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Star rounds, and leaders that a class tries in the first and in later ones. The last round has no such bound.
 STAR_ROUNDS, FIRST_TRIES, LATER_TRIES = 3, 3, 8
 MAX_FREQUENT, LOCAL_COUNT, FREQUENT_DOCS = 200_000, 6, 24
-BAND = 256
+#: Rows of a tile's side, and those of it that are compared at a time.
+TILE, BAND = 2048, 256
 #: Prefix shingles before a tile's own that its rows carry.
-BEFORE = 4
-#: Classes of one shingle that a star round takes together.
-PART = 50_000
+BEFORE = 2
 PIECE = 1_000_000
 
 _U = np.uint64
@@ -126,6 +130,14 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes, n: int) -> bytes:
+    """A bitmap of n elements folded to about one bit an element (from 0.75 to 1.5), 64 bits at least."""
+    width = max(64, 1 << math.ceil(math.log2(max(1, 0.75 * n)))) // 8
+    if len(bits) <= width:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
 def differing_bits(a: bytes, b: bytes) -> int:
     """Positions in which two parity bitmaps differ, folded to the narrower: at most the symmetric difference."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -196,10 +208,13 @@ def _describe(docs: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, elements) of the documents whose id may be among ids (id)."""
+    """(id, elements) of the documents whose id is among the table ids (id, no repeats)."""
     out = arrow_schema(id="long", elements="binary")
-    rows = docs.where("id is not null")
-    rows = rows.where(id_filter(ids, "id")(F.col("id"))).select("id", "text")
+    rows = docs.where("id is not null").select("id", "text")
+    if small(ids):
+        rows = rows.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        rows = rows.where(id_filter(ids, "id")(F.col("id"))).join(ids, "id", "left_semi")
 
     def apply(batches):
         for whole in batches:
@@ -224,8 +239,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([c[n] for n in ("u", "v", "n_u", "n_v")], names=["u", "v", "n_u", "n_v"]).filter(pa.array(keep, pa.bool_()))
 
     likely = written(both.mapInArrow(bounded, out))
-    sets = _sets_of(docs, likely.select(F.col("u").alias("id")).unionAll(likely.select(F.col("v").alias("id"))), words)
-    sets = written(sets)
+    ids = written(likely.select(F.col("u").alias("id")).unionAll(likely.select(F.col("v").alias("id"))).distinct())
+    sets = written(_sets_of(docs, ids, words))
+    drop(ids)
     joined = likely.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("elements").alias("y")), "v")
 
     def exact(batches):
@@ -240,7 +256,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int)
                     keep.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([c["u"], c["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(joined.mapInArrow(exact, "u bigint, v bigint"))
+    found = written(joined.mapInArrow(exact, "u bigint, v bigint").distinct())
+    drop(likely, sets)
+    return found
 
 
 def _folded(arrays: list, width: int) -> np.ndarray:
@@ -267,16 +285,18 @@ def _bounded(x: list, y: list, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: n
     return keep
 
 
-def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, bits=None, key: int = 0, before=None, band: int = BAND):
-    """(u, v) arrays of the pairs of one shingle that have different labels, sizes within the threshold and bitmaps that allow a link, tile by tile.
+def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.ndarray, bits=None, key: int = 0, before=None, side=None, band: int = BAND):
+    """(u, v) arrays of the pairs of one tile that have different labels, sizes within the threshold and bitmaps that allow a link, band by band.
 
-    bits: each member's bitmap (None: sizes alone decide). before: a row for each member, the prefix shingles that come before this one (key
-    where there is none). Pairs that have one of them in common have met there already; the first meeting is never left out.
+    side: 0 or 1 for each member; pairs are of both sides (None, or all 0: of all members). bits: each member's bitmap (None: sizes alone decide).
+    before: a row for each member, the prefix shingles that come before this one (key where there is none). Pairs that have one of
+    them in common have met there already; the first meeting is never left out.
     """
     order = np.argsort(size, kind="stable")
     rep, label, size, short = rep[order], label[order], size[order], short[order]
     words = None if bits is None else [np.frombuffer(bits[k], np.uint64) for k in order]
     earlier = None if before is None else before[order]
+    across = None if side is None or not side.any() else side[order]
     n = len(rep)
     for a in range(0, n, band):
         x = slice(a, min(a + band, n))
@@ -287,6 +307,8 @@ def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.n
             ok = (label[x][:, None] != label[y]) & (DENOMINATOR * size[x][:, None] >= NUMERATOR * size[y])
             # the smaller one has the shingle in its short prefix; of equal sizes either may be the smaller
             ok &= short[x][:, None] | ((size[x][:, None] == size[y]) & short[y])
+            if across is not None:
+                ok &= across[x][:, None] != across[y]
             if a == b:
                 ok &= np.arange(x.stop - a)[:, None] < np.arange(y.stop - b)
             i, j = np.nonzero(ok)
@@ -304,8 +326,8 @@ def tile_pairs(rep: np.ndarray, label: np.ndarray, size: np.ndarray, short: np.n
                 yield np.minimum(u, v), np.maximum(u, v)
 
 
-def _groups(batches, names):
-    """Arrays of the columns, cut so that no group of the first (by which they are sorted) is split."""
+def _groups(batches, names, by: int = 1):
+    """Arrays of the columns, cut so that no group of the first `by` of them (by which they are sorted) is split."""
     left = None
     for batch in batches:
         c = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
@@ -313,7 +335,7 @@ def _groups(batches, names):
             c = [np.concatenate(x) for x in zip(left, c)]
         if not len(c[0]):
             continue
-        cut = int(np.searchsorted(c[0], c[0][-1]))  # the last group may go on in the next batch
+        cut = int(_edges_of(*c[:by])[-2])  # the last group may go on in the next batch
         if cut:
             yield [x[:cut] for x in c]
         left = [x[cut:] for x in c]
@@ -321,102 +343,90 @@ def _groups(batches, names):
         yield left
 
 
-def _edges_of(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+def _edges_of(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for key in keys:
+        new |= key[1:] != key[:-1]
+    return np.flatnonzero(np.r_[True, new, True])
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(key, part, id, size) of the prefix shingles that several classes have.
+def _members(reps: DataFrame) -> DataFrame:
+    """(key, id, size, b0, ...) of the prefix shingles that several classes have.
 
-    size is doubled, and odd within the short prefix. part numbers runs of PART classes of a key, so that a later group by
-    (key, part) is bounded. A group streams through its task; one row of it is held.
+    size is doubled, and odd within the short prefix; b0, b1 ... are the shingles before the key (the key itself where there is none).
+    Shingles are counted with map-side sums, so that rows of those that one class has are not shuffled whole.
     """
-    rows = classes.select("id", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("n") * 2 + (F.col("at") < F.col("short")).cast("int")).alias("size"))
-    out = arrow_schema(key="long", part="long", id="long", size="long")
-
-    def apply(batches):
-        held, before = None, 0  # the last row, if nothing of its group is out yet; rows of its group so far
-        last = None
-        for batch in batches:
-            c = [batch.column(n).to_numpy() for n in ("key", "id", "size")]
-            if not len(c[0]):
-                continue
-            if held is not None:
-                c = [np.concatenate([x[:1], y]) for x, y in zip(held, c)]
-            edge = _edges_of(c[0])
-            sizes = np.diff(edge)
-            place = np.arange(len(c[0])) - np.repeat(edge[:-1], sizes)
-            goes_on = last is not None and c[0][0] == last and held is None
-            if goes_on:
-                place[: edge[1]] += before
-            out_ = np.repeat(sizes > 1, sizes)
-            if goes_on:
-                out_[: edge[1]] = True
-            alone = not out_[-1]  # the last row may find others in the next batch
-            held = [x[-1:] for x in c] if alone else None
-            last, before = c[0][-1], int(place[-1]) + 1
-            if out_.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[0][out_]), pa.array(place[out_] // PART), pa.array(c[1][out_]), pa.array(c[2][out_])], schema=out)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out))
-
-
-def _labelled(members: DataFrame, labels) -> DataFrame:
-    if labels is None:
-        rows = members.withColumn("label", F.col("id"))
-    else:
-        rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return rows.select("key", "part", "id", "label", "size")
-
-
-def _stars(members: DataFrame, labels) -> DataFrame:
-    """Candidate pairs (u, v): of each shingle's classes (of a part), one drawn by hash with each of another label and fitting size."""
-    out = arrow_schema(u="long", v="long")
-
-    def apply(batches):
-        for key, id_, label, size in _groups(batches, ("key", "id", "label", "size")):
-            edge = _edges_of(key)
-            sizes = np.diff(edge)
-            with np.errstate(over="ignore"):
-                draw = (_mix(key[edge[:-1]].view(np.uint64) ^ _U(0x5851F42D4C957F2D)) % sizes.astype(np.uint64)).astype(np.int64)
-            # rows of a group are in no set order: the drawn one is taken by rank of id
-            order = np.lexsort((id_, key))
-            lead = np.repeat(order[edge[:-1] + draw], sizes)
-            n, m = size >> 1, size[lead] >> 1
-            ok = (label != label[lead]) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(id_[lead][ok]), pa.array(id_[ok])], schema=out)
-
-    rows = _labelled(members, labels).withColumn("key", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")))
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out))
-    tries = FIRST_TRIES if labels is None else LATER_TRIES
-    few = pairs.groupBy("v").agg(*[F.min_by("u", F.xxhash64("u", "v", F.lit(k))).alias(f"u{k}") for k in range(tries)])
-    pairs = few.select(F.explode(F.array(*[f"u{k}" for k in range(tries)])).alias("u"), "v")
+    counted = reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    counted = written(counted)
+    maybe = id_filter(counted, "key")
+    rows = reps.select("id", "n", "short", "keys", F.posexplode("keys").alias("at", "key")).where(maybe(F.col("key")))
+    before = [F.when(F.col("at") > k, F.get("keys", F.col("at") - (k + 1))).otherwise(F.col("key")).alias(f"b{k}") for k in range(BEFORE)]
+    rows = rows.select("key", "id", (F.col("n") * 2 + (F.col("at") < F.col("short")).cast("int")).alias("size"), *before)
+    members = written(rows.join(counted, "key"))
+    drop(counted)
+    return members
+
+
+def _stars(star: DataFrame, tries: int) -> DataFrame:
+    """Candidate pairs (u, v): a shingle's drawn class with each of another label and fitting size; so many leaders for each class."""
+    n, m = F.floor(F.col("size") / 2), F.floor(F.col("lead_size") / 2)
+    fits = (F.col("label") != F.col("lead_label")) & (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m))
+    few = star.where(fits).groupBy("id").agg(*[F.min_by("lead", F.xxhash64("lead", "id", F.lit(k))).alias(f"u{k}") for k in range(tries)])
+    pairs = few.select(F.explode(F.array(*[f"u{k}" for k in range(tries)])).alias("u"), F.col("id").alias("v"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _tiles(members: DataFrame, labels, reps: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes and bitmaps.
+def _dealt(rows: DataFrame, tile: int) -> DataFrame:
+    """rows (key, id, label, size, ...) of shingles with several labels, once for each tile they are in, with `tile` and `side`.
 
-    Only members of shingles with more than one label carry their bitmaps here, and the BEFORE shingles before this one, by which a pair
-    with many common shingles is left out of most tiles.
+    A shingle of at most `tile` rows is one tile. Else its rows are cut by size class (linked sizes are in the same or the next one) and, within
+    a class, by hash into bands of about `tile` rows; each two bands that can hold linked sizes are a tile.
     """
+    base = 1.005 * DENOMINATOR / NUMERATOR
+    rows = rows.withColumn("cls", F.floor(F.log(F.floor(F.col("size") / 2).cast("double")) / F.lit(math.log(base))).cast("int"))
+    by = rows.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    by = by.groupBy("key").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.map_from_entries(F.collect_list(F.struct("cls", F.ceil(F.col("n") / tile).cast("int")))).alias("bands"))
+    by = by.where("a < b").select("key", "n", F.when(F.col("n") > tile, F.col("bands")).alias("bands"))
+    # A tile's number: class and band of side 0, whether side 1 is of the next class, band of side 1.
+    places = f"""if(bands is null, array(named_struct('tile', 0L, 'side', 0)), concat(
+      transform(filter(sequence(0, own - 1), x -> x >= band), x -> named_struct('tile', number(cls, band, 0, x), 'side', 0)),
+      transform(filter(sequence(0, own - 1), x -> x < band), x -> named_struct('tile', number(cls, x, 0, band), 'side', 1)),
+      if(above > 0, transform(sequence(0, above - 1), x -> named_struct('tile', number(cls, band, 1, x), 'side', 0)), array()),
+      if(under > 0, transform(sequence(0, under - 1), x -> named_struct('tile', number(cls - 1, x, 1, band), 'side', 1)), array())))"""
+    places = re.sub(r"number\(([^,]+), ([^,]+), ([^,]+), ([^)]+)\)", r"((((\1) * 1048576L + \2) * 2 + \3) * 1048576L + \4 + 1)", places)
+    bands = lambda c: F.coalesce(F.element_at("bands", c), F.lit(0))
+    out = rows.join(by.drop("n"), "key")
+    out = out.withColumns({"own": bands(F.col("cls")), "above": bands(F.col("cls") + 1), "under": bands(F.col("cls") - 1)})
+    out = out.withColumn("band", F.when(F.col("own") > 0, F.pmod(F.xxhash64("id", F.lit(5)), F.col("own")).cast("int")).otherwise(0))
+    return out.select(*[c for c in rows.columns if c != "cls"], F.explode(F.expr(places)).alias("p")).select("*", "p.tile", "p.side").drop("p")
+
+
+def _tiles(members: DataFrame, labels, classes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes and (folded) bitmaps."""
     out = arrow_schema(u="long", v="long")
     earlier = [f"b{k}" for k in range(BEFORE)]
+    rows = members.select("key", "id", "size", *earlier)
+    rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    dealt = written(_dealt(rows, tile))
+
+    def narrow(batches):
+        for batch in batches:
+            bits = [folded(x, n) for x, n in zip(batch.column("bits").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary())], names=["id", "bits"])
 
     def packed(us, vs):
         p = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], schema=out)
 
     def apply(batches):
-        for key, id_, label, size, bits, *before in _groups(batches, ("key", "id", "label", "size", "bits", *earlier)):
+        for key, tile_, id_, label, size, side, bits, *before in _groups(batches, ("key", "tile", "id", "label", "size", "side", "bits", *earlier), 2):
             before = np.stack(before, 1)
-            edge = _edges_of(key)
+            edge = _edges_of(key, tile_)
             mixed = np.flatnonzero(np.minimum.reduceat(label, edge[:-1]) < np.maximum.reduceat(label, edge[:-1]))
             us, vs, held = [], [], 0
             for k in mixed:
                 part = slice(edge[k], edge[k + 1])
-                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1, bits[part], int(key[edge[k]]), before[part]):
+                for u, v in tile_pairs(id_[part], label[part], size[part] >> 1, (size[part] & 1) == 1, bits[part], int(key[edge[k]]), before[part], side[part]):
                     us.append(u)
                     vs.append(v)
                     held += len(u)
@@ -426,40 +436,55 @@ def _tiles(members: DataFrame, labels, reps: DataFrame) -> DataFrame:
             if us:
                 yield packed(us, vs)
 
-    rows = written(_labelled(members, labels))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    rows = written(rows.join(mixed, "key", "left_semi").drop("part"))
-    release(rows.sparkSession)
-    mine = reps.where(id_filter(rows.select("id"), "id")(F.col("id"))).select("id", "bits", "keys")
-    rows = rows.join(mine, "id").withColumn("at", F.array_position("keys", F.col("key")).cast("int"))
-    rows = rows.select("key", "id", "label", "size", "bits", *[F.coalesce(F.get("keys", F.col("at") - 2 - k), F.col("key")).alias(b) for k, b in enumerate(earlier)])
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(apply, ddl(out)).distinct()
+    asked = id_filter(dealt.select("id").distinct(), "id")
+    mine = classes.where(asked(F.col("id"))).select("id", "n", "bits").mapInArrow(narrow, "id bigint, bits binary")
+    rows = dealt.join(mine, "id").select("key", "tile", "id", "label", "size", "side", "bits", *earlier)
+    pairs = written(rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(apply, ddl(out)).distinct())
+    drop(dealt)
+    return pairs
 
 
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(id_, n_shingles, component_id) of each row of docs."""
     rows = docs.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"))
     described = written(_describe(rows, _frequent(rows, words), words))
-    sets = described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    sets = written(sets.where("id is not null"))
-    whole = described.where("id is not null")
-    reps = written(whole.join(sets.select("id", "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "keys", "short", "bits"))
-
-    members = written(_members(reps))
-    classes = reps.select("id", "n", "bits")
-    links = labels = None
-    for _ in range(STAR_ROUNDS):
-        new = _verified(_stars(members, labels), classes, rows, words)
+    light = written(described.select("id", "n", "s1", "s2"))
+    sets = written(light.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("id is not null"))
+    # Only rows whose set may be repeated are shuffled to find the one that stands for their class.
+    again = written(sets.where("copies > 1").select("id", "s1", "s2"))
+    repeated = id_filter(again, "s1")(F.col("s1"))
+    whole = described.where("id is not null and n > 0")
+    reps = whole.where(~repeated).unionByName(whole.where(repeated).join(sets.select("id", "s1", "s2"), ["id", "s1", "s2"], "left_semi").select(described.columns))
+    reps = written(reps.select("id", "n", "keys", "short", "bits"))
+    drop(described, again)
+    members = _members(reps)
+    classes = written(reps.select("id", "n", "bits"))
+    drop(reps)
+
+    # An id with several texts is one document.
+    several = light.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).where("a <> b").select(F.col("id").alias("v"))
+    several = light.where("n > 0").join(several, F.col("id") == F.col("v"), "left_semi").select(F.col("id").alias("v"), "s1", "s2").join(sets.select("s1", "s2", "id"), ["s1", "s2"])
+    links = written(several.select(F.col("id").alias("u"), "v").where("u <> v").distinct())
+    labels = None
+    for turn in range(STAR_ROUNDS):
+        star = led(members, labels, turn, ("size",))
+        drop(members)
+        members = star
+        pairs = written(_stars(star, LATER_TRIES if turn else FIRST_TRIES))
+        new = _verified(pairs, classes, rows, words)
+        drop(pairs)
         if new.isEmpty():
             break
-        links = new if links is None else links.unionAll(new)
+        links = links.unionAll(new)
         labels = connected_components(links)
-        release(docs.sparkSession)
-    more = _verified(_tiles(members, labels, reps), classes, rows, words)
-    final = connected_components(more if links is None else links.unionAll(more))
+    pairs = _tiles(members, labels, classes)
+    drop(members)
+    more = _verified(pairs, classes, rows, words)
+    drop(pairs, classes)
+    final = connected_components(links.unionAll(more))
 
     named = sets.join(final, "id", "left").where("copies > 1 or label is not null").select("s1", "s2", F.coalesce("label", "id").alias("component"))
-    out = described.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = light.join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -4,16 +4,21 @@ A line is normalised to its lower-case words (runs of letters; digits and marks
 link if their 64-bit SimHashes (over words) differ in at most HAMMING bits and the edit similarity of their normalised texts,
 1 - Levenshtein / longer length, is at least SIMILARITY. The query and the pipeline ask for `minima` instead of SimHashes: classes
 are compared if two minima of MINIMA hashes over their word shingles, next to each other, are equal (LSH), since edits of 10 % of a line
-move a SimHash by far more bits than blocks can cover. Of each connected group the first occurrence stays (least
-document id, then line number), all other lines of it go. Lines of fewer than MIN_WORDS words always stay.
+move a SimHash by far more bits than blocks can cover (README has the figures). Of each connected group the first occurrence stays (least
+document id, then line number), all other lines of it go. A line without words always stays.
 
 Candidates: a hash is cut into HAMMING + 2 blocks; two blocks at least agree within HAMMING bits, so classes meet by
-pairs of blocks (pigeonhole), or by pairs of minima. Each meeting place first links its members to its least one, a star; components of what is
-verified follow, and then only pairs of different components meet, so a group of thousands of variants yields no square of
-pairs and no link between components is lost. SimHash bits are summed four to a long, 16 bits each.
+pairs of blocks (pigeonhole), or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, STAR_ROUNDS
+times); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
+yields no square of pairs and no link between components is lost. Pairs of classes that never link do all meet if they share a place, which
+two minima of 64 bits make rare. SimHash bits are summed four to a long, 16 bits each.
+
+Common lines are counted with map-side sums before anything is joined; joins with a side of unique keys are left to the skew join.
 
 Edge cases: null text stays null and has no lines; empty lines stay; lines of any length are taken whole (those of over 32,000 words
-are summed bit by bit); a row with a null document id is passed through untouched; repeated rows of one id stay or lose lines alike; an
+are summed bit by bit; the edit distance of two of n characters takes n * n / 10 steps at most, and only where their ends and words do not decide);
+a row with a null document id is passed through untouched; repeated rows of one id stay or lose lines alike; rows of one id with
+different texts lose a line number if any of them does; other columns are kept, whatever their names; an
 empty table gives an empty result. A document whose every line with words went has only what is left (often an empty text).
 """
 
@@ -24,10 +29,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import id_filter, load, release, written
-from bitloom.llm.graph import connected_components
+from bitloom.llm.common import drop, id_filter, load, written
+from bitloom.llm.graph import connected_components, led
 
-HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 3
+HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 1
+STAR_ROUNDS = 3
+#: Pairs whose edit distances one task takes.
+TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone; words of a shingle, and of one of a line of fewer than SHORT words.
 MINIMA, SHINGLE, SHORT_SHINGLE, SHORT = 12, 3, 2, 12
 #: Gaps between words of a lower-case line, as character ranges (the line feed is none); of these, those that are not one space already.
@@ -110,14 +118,17 @@ _TRIMMED = (
 )
 
 
-def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of class ids whose texts are alike."""
+def class_id(h1, h2):
+    """One number of 124 bits for both hashes of a class."""
+    low = lambda h: h.bitwiseAND((1 << 62) - 1).cast("decimal(19,0)")
+    return (low(h1) * F.lit(1 << 62).cast("decimal(19,0)") + low(h2)).cast("decimal(38,0)")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of class ids whose words (texts: id, words) are alike."""
     near = written(pairs)
-    ids = near.select(F.col("u").alias("id")).unionAll(near.select(F.col("v").alias("id"))).distinct()
-    maybe = id_filter(ids, "id")
-    texts = lines.where(maybe(F.col("h1"))).select(F.col("h1").alias("id"), "words").join(ids, "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.first("words").alias("words")))
     both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
+    both = both.repartition(near.count() // TASK_PAIRS + 1, "u", "v")  # by number, as the work does not go by bytes
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
     both = both.select("u", "v", "a", "b", most.alias("most"), F.expr("split(a, ' ')").alias("x"), F.expr("split(b, ' ')").alias("y"))
     # Bounds from above decide most pairs: the words that differ, if both have as many; else the longer rest without common ends.
@@ -128,88 +139,95 @@ def _alike(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     both = both.select("u", "v", "most", "sure", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[1]).alias("ab"))
     edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 else levenshtein(ab.a, ab.b, most) end"
     # Written before it is filtered, so that the filter is not pushed below what it reads.
-    return written(both.select("u", "v", F.expr(edits).alias("edits"))).where("edits >= 0").select("u", "v")
+    found = written(both.select("u", "v", F.expr(edits).alias("edits")))
+    drop(near)
+    return found.where("edits >= 0").select("u", "v")
 
 
-def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int) -> DataFrame:
-    """(u, v): links of class ids (h1), enough of them to give every component."""
+def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
+    """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared."""
     blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), hamming)
-    keys = classes.select(F.col("h1").alias("id"), "simhash", "size", F.explode_outer(blocks).alias("key"))
-    met = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    met = written(met)
-    maybe = id_filter(met, "key")
-    members = written(keys.where(maybe(F.col("key"))).join(met, "key").select("key", "id", "simhash", "size", "least"))
+    keys = classes.select("h1", "h2", "simhash", "size", F.explode_outer(blocks).alias("key"))
+    met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    members = written(keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", "h1", "h2", class_id(F.col("h1"), F.col("h2")).alias("id"), "simhash", "size"))
+    compared = written(members.select("id", "h1", "h2").distinct())
+    # The map side of this sum takes a common line's occurrences together.
+    texts = lines.where(id_filter(compared, "h1")(F.col("h1"))).groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    texts = written(texts.select(class_id(F.col("h1"), F.col("h2")).alias("id"), "words"), 1)
+    narrow = written(members.select("key", "id", "simhash", "size"))
+    drop(met, members)
 
     def fits(s, n):
         close = F.bit_count(F.col("simhash").bitwiseXOR(F.col(s))) <= hamming
         return close & (F.least("size", n) * 100 >= F.greatest("size", n) * percent)
 
-    heads = members.where("id = least").select(F.col("id").alias("least"), F.col("simhash").alias("s"), F.col("size").alias("n")).distinct()
-    stars = members.where("id <> least").join(heads, "least").where(fits("s", "n")).groupBy("id").agg(F.min("least").alias("least"))
-    stars = _alike(stars.select(F.col("least").alias("u"), F.col("id").alias("v")), lines, percent)
-    labels = connected_components(stars)
-    labelled = written(members.drop("least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    mixed = written(labelled.join(mixed, "key", "left_semi"))
+    found, labels, rest = None, None, narrow
+    for turn in range(STAR_ROUNDS):
+        star = led(rest, labels, turn, ("simhash", "size"))
+        drop(rest)
+        rest = star
+        pairs = star.where((F.col("label") != F.col("lead_label")) & fits("lead_simhash", "lead_size")).groupBy("id").agg(F.min("lead").alias("lead"))
+        new = _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionAll(new)
+        labels = connected_components(found)
+    last = rest.drop("label") if labels is None else rest.drop("label").join(labels, "id", "left")
+    last = last.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id")).select("key", "id", "label", "simhash", "size")
+    mixed = last.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    mixed = written(last.join(mixed, "key"))
+    drop(rest)
     other = mixed.select("key", F.col("id").alias("v"), F.col("label").alias("l"), F.col("simhash").alias("s"), F.col("size").alias("n"))
-    more = mixed.join(other, "key").where(F.col("label") < F.col("l")).where(fits("s", "n")).select(F.col("id").alias("u"), "v").distinct()
-    return stars.unionAll(_alike(more, lines, percent))
+    more = mixed.join(other, "key").where(F.col("label") < F.col("l")).where(fits("s", "n")).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    more = _alike(more, texts, percent)
+    drop(mixed, texts)
+    return (more if found is None else found.unionAll(more)), compared
 
 
 def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming: int = HAMMING, percent: int = SIMILARITY_PERCENT, min_words: int = MIN_WORDS, minima: int = 0) -> DataFrame:
     """(doc, line): the lines that go. With minima, candidates are found by so many of them, and hamming is not used."""
-    lines = lines_of(docs, text, id_, min_words)
-    path_lines = _packed(lines)
-    place = lambda: (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(11,0)")).cast("decimal(38,0)")
-    occurrences = path_lines.select("h1", "h2", place().alias("place"))
-    first = written(occurrences.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    lines = written(lines_of(docs, text, id_, min_words), 1)
+    place = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line").cast("decimal(11,0)")).cast("decimal(38,0)")
+    first = written(lines.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     # Only words of lines that may be repeated are shuffled to make them distinct.
     repeated = id_filter(first.where("n > 1"), "h1")(F.col("h1"))
-    distinct = path_lines.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    distinct = path_lines.where(~repeated).select("h1", "h2", "words").unionByName(distinct)
+    distinct = lines.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    distinct = lines.where(~repeated).select("h1", "h2", "words").unionByName(distinct)
     if minima:
         classes = written(sketches(distinct, minima))
     else:
-        some_long = not path_lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
+        some_long = not lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
         classes = written(simhashes(distinct, some_long))
-    del distinct
-    release(docs.sparkSession)
-    groups = connected_components(links(path_lines, classes, hamming, percent))
-    release(docs.sparkSession)
-    in_group = id_filter(groups, "id")
-    grouped = written(first.where(in_group(F.col("h1"))).join(groups.select(F.col("id").alias("h1"), "label"), "h1"))
+    found, compared = links(lines, classes, hamming, percent)
+    drop(classes)
+    groups = written(connected_components(found).join(compared, "id").select("h1", "h2", "label"))
+    in_group = id_filter(groups, "h1")
+    grouped = written(first.where(in_group(F.col("h1"))).join(groups, ["h1", "h2"]))
     heads = grouped.groupBy("label").agg(F.min("first").alias("head"))
     heads = grouped.join(heads, "label").select("h1", "h2", "head")
     stays = first.where((F.col("n") > 1) | in_group(F.col("h1"))).join(heads, ["h1", "h2"], "left").where("n > 1 or head <> first").select("h1", "h2", F.coalesce("head", "first").alias("head"))
     stays = written(stays)
-    maybe = id_filter(stays, "h1")
-    again = path_lines.where(maybe(F.col("h1"))).select("h1", "h2", "doc", "line", place().alias("place"))
-    return written(again.join(stays, ["h1", "h2"]).where("place <> head").select("doc", "line"))
-
-
-def _packed(df: DataFrame) -> DataFrame:
-    from bitloom.llm.common import work_dir
-
-    path = f"{work_dir(df.sparkSession)}/lines"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = lines.where(id_filter(stays, "h1")(F.col("h1"))).select("h1", "h2", "doc", "line", place.alias("place"))
+    gone = written(again.join(stays, ["h1", "h2"]).where("place <> head").select("doc", "line"))
+    drop(lines, first, compared, groups, grouped, stays)
+    return gone
 
 
 def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:
-    """docs with all its columns, duplicate lines taken out of the text, and n_lines and n_removed (`__n_lines`, `__n_removed`)."""
-    gone = duplicates(docs, text, id_, **options).distinct()
-    which = written(gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("__gone")).withColumnRenamed("doc", "__doc"))
-    maybe = id_filter(which, "__doc")
-    key = F.coalesce(F.col(id_).cast("bigint"), F.lit(0))
-    some = F.coalesce(maybe(key) & F.col(id_).isNotNull(), F.lit(False))
-    lines = F.split(F.col(text), "\n")
-    whole = docs.where(~some).withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("__n_removed", F.lit(0).cast("bigint"))
-    cut = docs.where(some).withColumn("__id", F.col(id_).cast("bigint")).join(which.hint("merge"), F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
-    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))), "\n"))
-    cut = cut.withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn(text, kept).withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")).drop("__gone")
+    """row (all columns of docs, duplicate lines taken out of the text), n_lines and n_removed."""
+    gone = duplicates(docs, text, id_, **options)
+    which = written(gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("gone")))
+    drop(gone)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_).cast("bigint").alias("doc"), F.split(F.col(text), "\n").alias("lines"))
+    rows = rows.withColumn("n_lines", F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("bigint"))
+    some = F.coalesce(id_filter(which, "doc")(F.coalesce("doc", F.lit(0))) & F.col("doc").isNotNull(), F.lit(False))
+    whole = rows.where(~some).select("row", "n_lines", F.lit(0).cast("bigint").alias("n_removed"))
+    cut = rows.where(some).join(which.hint("merge"), "doc", "left")
+    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    cut = cut.select(F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text, kept)).alias("row"), "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"))
     return whole.unionByName(cut)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), minima=MINIMA)
-    return out.select("doc_id", F.greatest("__n_lines", F.lit(0)).alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("row.text", 256).alias("kept_sha256"))

@@ -122,6 +122,43 @@ def test_tiles_with_bitmaps_and_earlier_shingles():
     assert linked <= set(bounded) < set(plain)
 
 
+def test_tiles_are_dealt(spark):
+    """Each pair of fitting sizes meets in exactly one tile, and no tile is much larger than asked for."""
+    rng = random.Random(8)
+    rows = [(key, i + 10_000 * key, i % 7, 2 * rng.randint(3, 60) + i % 2) for key, n in ((1, 400), (2, 9), (3, 60), (4, 30)) for i in range(n)]
+    rows = [(k, i, 0 if k == 4 else a, s) for k, i, a, s in rows]  # one label only: no pair
+    got = op1_jaccard._dealt(spark.createDataFrame(rows, "key bigint, id bigint, label bigint, size bigint"), 16).collect()
+    tiles = {}
+    for r in got:
+        tiles.setdefault((r.key, r.tile), ([], []))[r.side].append(r)
+    assert max(len(a) + len(b) for a, b in tiles.values()) < 90
+    met = Counter()
+    for a, b in tiles.values():
+        for x, y in itertools.product(a, b) if b else itertools.combinations(a, 2):
+            met[min(x.id, y.id), max(x.id, y.id)] += 1
+    size = {i: s // 2 for _, i, _, s in rows}
+    label = {i: k for k, i, _, _ in rows}
+    wanted = {(i, j) for i, j in itertools.combinations(sorted(size), 2) if label[i] == label[j] < 4 and 4 * min(size[i], size[j]) >= 3 * max(size[i], size[j])}
+    assert wanted <= set(met) and set(met.values()) == {1}
+
+
+def test_one_shingle_in_many_classes(spark):
+    """A shingle that thousands of unlinked classes have in their prefixes, beside linked pairs of them."""
+    rng = random.Random(9)
+    rows = [(i, "the one common start " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(4))) for i in range(6000)]
+    rows += [(10_000 + i, t + " " + rows[i + 1][1].split()[-1]) for i, t in rows[:40]]
+    got = {r.doc_id: r.component_id for r in op1_jaccard.components(docs_of(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(i, 10_000 + i) for i in range(40) if 100 * len(sets[i] & sets[10_000 + i]) >= 75 * len(sets[i] | sets[10_000 + i])]
+    assert links and got == components(sets, links)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    got = op1_jaccard.components(docs_of(spark, [(3, a), (5, a), (5, b), (7, b), (9, b + " c"), (11, "x y")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 3), (11, 11)]
+
+
 def test_matches_sql(spark, sf_dir, same_rows):
     same_rows(op1_jaccard.op1_ngram_jaccard_join(spark, sf_dir), op1_jaccard.SQL)
 
@@ -255,7 +292,7 @@ def distance(a, b):
     return row[-1]
 
 
-def lines_truth(rows, hamming=2, percent=90, least=3):
+def lines_truth(rows, hamming=2, percent=90, least=1):
     places = {}
     for i, t in rows:
         if i is None or t is None:
@@ -289,7 +326,7 @@ def test_lines(spark):
     pool += ["", "two words", "All rights, reserved 2020!", "all RIGHTS reserved (2021).", "12345 67"]
     rows = [(k, "\n".join(rng.choices(pool, k=rng.choice([1, 3, 6])) + [" ".join(rng.choices(vocabulary, k=25))])) for k in range(40)]
     rows += [(100, None), (101, ""), (102, rows[3][1]), (None, rows[3][1])]
-    got = {r.doc_id: r.text for r in op9_lines.dedup(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in op9_lines.dedup(docs_of(spark, rows)).select("row.*").collect()}
     want, n_links = lines_truth(rows)
     assert n_links > 20
     assert got == dict(want)
@@ -307,8 +344,27 @@ def test_long_line_bits(spark):
 
 def test_lines_edges(spark):
     assert op9_lines.dedup(docs_of(spark, [])).collect() == []
-    got = op9_lines.dedup(docs_of(spark, [(1, "a b c\na b c"), (1, "a b c\na b c"), (2, "a b c")])).select("doc_id", "text", "__n_lines", "__n_removed").collect()
+    got = op9_lines.dedup(docs_of(spark, [(1, "a b c\na b c"), (1, "a b c\na b c"), (2, "a b c")])).select("row.doc_id", "row.text", "n_lines", "n_removed").collect()
     assert sorted(map(tuple, got)) == [(1, "a b c", 2, 1), (1, "a b c", 2, 1), (2, "", 1, 1)]
+    odd = spark.createDataFrame([(1, "Share this\nShare this", 7, 8, 9, 1), (2, "1 2\nshare THIS\n1 2", 7, 8, 9, 2)], "doc_id bigint, text string, `lines` int, gone int, n_lines int, row int")
+    got = op9_lines.dedup(odd, minima=12).select("row.*").collect()
+    assert sorted(map(tuple, got)) == [(1, "Share this", 7, 8, 9, 1), (2, "1 2\n1 2", 7, 8, 9, 2)]
+
+
+def test_many_unlinked_lines_in_one_key(spark):
+    """Lines that share a SimHash and a length, so that all meet, but are not alike; and a few that are."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample([f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"], 12))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1][:-1] + "z") for i in range(30)]
+    lines = spark.createDataFrame([(i, 0, t) for i, t in rows], "doc bigint, line int, words string").selectExpr("doc", "line", "xxhash64(words) as h1", "xxhash64(words, 1) as h2", "length(words) as size", "words")
+    classes = lines.selectExpr("h1", "h2", "0L as simhash", "size", "array(1L) as keys")
+    found, compared = op9_lines.links(lines, classes, 2, 90)
+    groups = graph.connected_components(found).join(compared, "id").join(lines, ["h1", "h2"]).select("doc", "label").collect()
+    label = {r.doc: r.label for r in groups}
+    texts = dict(rows)
+    want = components(texts, [(a, b) for a, b in itertools.combinations(texts, 2) if distance(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])) // 10])
+    for a, b in itertools.combinations(texts, 2):
+        assert (want[a] == want[b]) == (a in label and label.get(a) == label.get(b))
 
 
 def test_lines_recall(spark, tmp_path):

@@ -322,7 +322,7 @@ def test_base_spans():
     for _ in range(20_000):
         t = "".join(rng.choices("a.@-b+ .%é0123456789()", k=rng.randrange(40)))
         assert op10_pii.base_spans(t) == spans_truth(t)
-    for t in ("4111 1111 1111 1111 and 4111111111111112", "a@b.c@d.e", "1.2.3.4.5 256.1.1.1 0000255.1.1.1", "+49 (30) 123-45 6789", "é😀 x@y.zz", "a" * 200_000 + "@", "1 " * 50_000, "+1" * 1000):
+    for t in ("4111 1111 1111 1111 and 4111111111111112", "a@b.c@d.e", "1.2.3.4.5 256.1.1.1 0000255.1.1.1", "+49 (30) 123-45 6789", "é😀 x@y.zz", "a" * 200_000 + "@", "1 " * 50_000, "+1" * 1000, "1.2.3.4.5.6.7.8.9.999", "1.2.3.4..5.6.7.8", "00.0.000.255"):
         assert op10_pii.base_spans(t) == spans_truth(t)
 
 
@@ -339,7 +339,8 @@ def test_terms(spark):
         terms = {texts[k][x.start : x.end].lower(): x.action for x in got[k].terms}
         assert set(terms) == {"quarkington", "mail", "and"}
         assert got[k].base == op10_pii.joined(spans_truth(texts[k]))
-    assert all(got[k].terms is None for k in [*range(300), 2001, 2002, 2003, None])
+    assert got[None].terms == got[1000].terms
+    assert all(got[k].terms is None for k in [*range(300), 2001, 2002, 2003])
     clean = {r.doc_id: r.text for r in op10_pii.sanitise(docs_of(spark, [r for r in rows if r[0] is not None])).collect()}
     assert "[EMAIL]" in clean[1000] and "Quarkington" not in clean[1000] and clean[5] == texts[5] and clean[2001] is None
     assert op10_pii.detect(docs_of(spark, [])).collect() == []
@@ -373,3 +374,47 @@ def test_terms_far_from_the_entity(spark):
     got = {r.doc_id: r.terms for r in op10_pii.detect(docs_of(spark, rows)).collect()}
     text = rows[-1][1]
     assert [text[x.start : x.end].lower() for x in got[500]].count("zanzibarov") == 2
+
+
+def terms_truth(rows, low=op10_pii.GENERALISE_AT, high=op10_pii.REMOVE_AT):
+    """Term spans of each distinct text, from the definition."""
+    import math
+
+    texts = sorted({t for _, t in rows if t is not None})
+    word = re.compile(r"[^\W\d_]{3,}")
+    facts = {}
+    for t in texts:
+        spans = spans_truth(t)
+        inside = {p for _, a, b in spans for p in range(a, b)}
+        words = [(m[0].lower(), m.start(), m.end()) for m in word.finditer(t)]
+        facts[t] = (set(op10_pii.entities_of(t, spans)), [w for w in words if not inside & set(range(*w[1:]))], {w for w, _, _ in words})
+    n, out = len(texts), {}
+    for t, (entities, words, _) in facts.items():
+        best = {}
+        for e in entities:
+            with_e = [x for x in facts.values() if e in x[0]]
+            for w in {w for w, _, _ in words}:
+                n_t, n_et = sum(w in x[2] for x in facts.values()), sum(w in {y for y, _, _ in x[1]} for x in with_e)
+                if len(with_e) < n:
+                    d = math.log((n_et + n_t / n) / (len(with_e) + 1) * n / n_t) / math.log(n / len(with_e))
+                    best[w] = max(best.get(w, 0), d)
+        out[t] = [(a, b, "remove" if best[w] >= high else "generalise") for w, a, b in words if best.get(w, 0) >= low]
+    return out
+
+
+def test_terms_by_definition(spark):
+    """All term spans against the definition: entities of one and of many texts, texts with both, repeated ids, copies."""
+    rng = random.Random(12)
+    common = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnr"]
+    rare = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(250)]
+    rows = []
+    for k in range(150):
+        words = rng.choices(common, k=25) + rng.sample(rare, 2)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words)), rng.choice(["info@corp.example", "10.0.0.7", f"user{k}@mail.example", "+49 30 123456", f"sales@shop{k % 9}.example {rare[k % 9]}"]))
+        rows.append((k % 120, " ".join(words)))
+    rows += [rows[k] for k in range(20)] + [(500 + k, rows[3][1]) for k in range(50)] + [(900, "x"), (901, None)]
+    want = terms_truth(rows)
+    assert sum(map(len, want.values())) > 30
+    got = sorted((r.doc_id, r.base, [tuple(x) for x in r.terms or ()]) for r in op10_pii.detect(docs_of(spark, rows)).collect())
+    assert got == sorted((i, op10_pii.joined(spans_truth(t or "")), want.get(t, [])) for i, t in rows)
