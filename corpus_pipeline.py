@@ -35,8 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = op9_lines.dedup(docs, minima=op9_lines.MINIMA)
-    out = out.where((F.col("__n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
-    return out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(docs.columns)
+    changed = F.col("n_removed") > 0
+    out = out.where(~changed | (F.trim(F.translate("row.text", "\n\r\t", "   ")) != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("row", F.when(changed, F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType))).otherwise(F.col("row")))
+    return out.select("row.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
