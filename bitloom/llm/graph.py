@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import drop, written
+from bitloom.llm.common import cleaned, drop, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -50,3 +52,48 @@ def led(members: DataFrame, labels, turn: int, sizes) -> DataFrame:
     keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), lead.alias("x")).where("a < b")
     keys = keys.select("key", F.col("x.id").alias("lead"), F.col("x.label").alias("lead_label"), *[F.col(f"x.{c}").alias(f"lead_{c}") for c in sizes])
     return written(rows.join(keys, "key"))
+
+
+def open_pairs(rows: DataFrame) -> int:
+    """How many pairs of different labels rows (key, label) have within their keys."""
+    by = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
+    with cleaned(rows.sparkSession):
+        return int(by.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0)
+
+
+#: Star rounds end when no more pairs are open than rows are left, when a round closes less than this share of them, or after so many.
+LEAST_CLOSED, MOST_ROUNDS = 0.2, 12
+
+
+def grown(members: DataFrame, sizes, links: list, verified: Callable[[DataFrame, int], DataFrame]):
+    """Components grown by stars: (rows, labels). members (key, id, ...) is dropped on the way.
+
+    In each round a member of each key, drawn by hash, is led() to the others; verified(rows, round) gives the links (u, v) among the pairs
+    of that kind, which are added to `links`. What is left of a large group is outside of its main component, and so is less in each round.
+    rows: the members of keys with several labels, with their label (id where labels is None).
+    """
+    labels, before = None, None
+    if links:
+        labels = connected_components(_union(links))
+    rows = members
+    for turn in range(MOST_ROUNDS + 1):
+        star = led(rows, labels, turn, sizes)
+        drop(rows)
+        rows = star
+        left = open_pairs(rows)
+        if not left or turn == MOST_ROUNDS or turn and (left <= rows.count() or left > (1 - LEAST_CLOSED) * before):
+            break
+        before = left
+        new = verified(rows, turn)
+        if not new.isEmpty():
+            links.append(new)
+            labels = connected_components(_union(links))
+    return rows, labels
+
+
+def _union(tables: list) -> DataFrame:
+    found = tables[0]
+    for table in tables[1:]:
+        found = found.unionAll(table)
+    return found

@@ -12,8 +12,8 @@ if |x & y| / |x | y| reaches the threshold (exact integers: 100 * common >= 75 *
    bit an element, which keeps the bound; what is left is bounded again by the full ones.
 3. Exact. The sorted arrays of the remaining pairs are intersected.
 
-Groups of thousands of near copies would meet in every tile they share, so components are first grown by STAR_ROUNDS rounds of
-stars: for each shingle a class drawn by hash is paired with the others (a few leaders for each
+Groups of thousands of near copies would meet in every tile they share, so components are first grown by rounds of
+stars (until few pairs are open): for each shingle a class drawn by hash is paired with the others (a few leaders for each
 class), what is verified links, and later rounds leave out shingles and pairs inside a component. The last round yields every remaining pair of
 different components, tile by tile. That loses nothing: a pair inside a component cannot change the result.
 Which shingles count as frequent is estimated in each task; it affects cost, never results.
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import arrow_schema, ddl, drop, id_filter, load, pieces, small, written
-from bitloom.llm.graph import connected_components, led
+from bitloom.llm.graph import connected_components, grown
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Star rounds, and leaders that a class tries in the first and in later ones. The last round has no such bound.
-STAR_ROUNDS, FIRST_TRIES, LATER_TRIES = 3, 3, 8
+#: Leaders that a class tries in the first star round and in later ones. The tiles have no such bound.
+FIRST_TRIES, LATER_TRIES = 3, 8
 MAX_FREQUENT, LOCAL_COUNT, FREQUENT_DOCS = 200_000, 6, 24
 #: Rows of a tile's side, and those of it that are compared at a time.
 TILE, BAND = 2048, 256
@@ -401,13 +401,11 @@ def _dealt(rows: DataFrame, tile: int) -> DataFrame:
     return out.select(*[c for c in rows.columns if c != "cls"], F.explode(F.expr(places)).alias("p")).select("*", "p.tile", "p.side").drop("p")
 
 
-def _tiles(members: DataFrame, labels, classes: DataFrame, tile: int = TILE) -> DataFrame:
+def _tiles(members: DataFrame, classes: DataFrame, tile: int = TILE) -> DataFrame:
     """Candidate pairs (u, v): all of different labels that share a shingle and have fitting sizes and (folded) bitmaps."""
     out = arrow_schema(u="long", v="long")
     earlier = [f"b{k}" for k in range(BEFORE)]
-    rows = members.select("key", "id", "size", *earlier)
-    rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    dealt = written(_dealt(rows, tile))
+    dealt = written(_dealt(members.select("key", "id", "label", "size", *earlier), tile))
 
     def narrow(batches):
         for batch in batches:
@@ -464,24 +462,23 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     # An id with several texts is one document.
     several = light.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).where("a <> b").select(F.col("id").alias("v"))
     several = light.where("n > 0").join(several, F.col("id") == F.col("v"), "left_semi").select(F.col("id").alias("v"), "s1", "s2").join(sets.select("s1", "s2", "id"), ["s1", "s2"])
-    links = written(several.select(F.col("id").alias("u"), "v").where("u <> v").distinct())
-    labels = None
-    for turn in range(STAR_ROUNDS):
-        star = led(members, labels, turn, ("size",))
-        drop(members)
-        members = star
-        pairs = written(_stars(star, LATER_TRIES if turn else FIRST_TRIES))
+    links = [written(several.select(F.col("id").alias("u"), "v").where("u <> v").distinct())]
+
+    def linked(rows_: DataFrame, turn: int) -> DataFrame:
+        pairs = written(_stars(rows_, LATER_TRIES if turn else FIRST_TRIES))
         new = _verified(pairs, classes, rows, words)
         drop(pairs)
-        if new.isEmpty():
-            break
-        links = links.unionAll(new)
-        labels = connected_components(links)
-    pairs = _tiles(members, labels, classes)
-    drop(members)
-    more = _verified(pairs, classes, rows, words)
+        return new
+
+    left, _ = grown(members, ("size",), links, linked)
+    pairs = _tiles(left, classes)
+    drop(left)
+    links.append(_verified(pairs, classes, rows, words))
     drop(pairs, classes)
-    final = connected_components(links.unionAll(more))
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionAll(more)
+    final = connected_components(found)
 
     named = sets.join(final, "id", "left").where("copies > 1 or label is not null").select("s1", "s2", F.coalesce("label", "id").alias("component"))
     out = light.join(named, ["s1", "s2"], "left")

@@ -3,13 +3,13 @@
 A line is normalised to its lower-case words (runs of letters; digits and marks are gaps). Lines of equal words form classes; classes
 link if their 64-bit SimHashes (over words) differ in at most HAMMING bits and the edit similarity of their normalised texts,
 1 - Levenshtein / longer length, is at least SIMILARITY. The query and the pipeline ask for `minima` instead of SimHashes: classes
-are compared if two minima of MINIMA hashes over their word shingles, next to each other, are equal (LSH), since edits of 10 % of a line
+are compared if LEAST_EQUAL of MINIMA minima of hashes over their word shingles are equal, two of one pair among them (LSH), since edits of 10 % of a line
 move a SimHash by far more bits than blocks can cover (README has the figures). Of each connected group the first occurrence stays (least
 document id, then line number), all other lines of it go. A line without words always stays.
 
 Candidates: a hash is cut into HAMMING + 2 blocks; two blocks at least agree within HAMMING bits, so classes meet by
-pairs of blocks (pigeonhole), or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, STAR_ROUNDS
-times); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
+pairs of blocks (pigeonhole), or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, in
+rounds until few pairs are open); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
 yields no square of pairs and no link between components is lost. Pairs of classes that never link do all meet if they share a place, which
 two minima of 64 bits make rare. SimHash bits are summed four to a long, 16 bits each.
 
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import drop, id_filter, load, written
-from bitloom.llm.graph import connected_components, led
+from bitloom.llm.graph import connected_components, grown
 
 HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 1
-STAR_ROUNDS = 3
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
-#: Minima of shingle hashes, for candidates of edit similarity alone; words of a shingle, and of one of a line of fewer than SHORT words.
-MINIMA, SHINGLE, SHORT_SHINGLE, SHORT = 12, 3, 2, 12
+#: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
+#: one of a line of fewer than SHORT words.
+MINIMA, LEAST_EQUAL, SHINGLE, SHORT_SHINGLE, SHORT = 12, 4, 3, 2, 12
 #: Gaps between words of a lower-case line, as character ranges (the line feed is none); of these, those that are not one space already.
 GAP, NOT_SPACE = r"[\x00-\x09\x0B-\x60\x7B-\x7F]", r"[\x00-\x09\x0B-\x1F\x21-\x60\x7B-\x7F]"
 GAPS = f"{NOT_SPACE}{GAP}*| {GAP}+"
@@ -91,7 +91,10 @@ def _packed_simhashes(words: DataFrame) -> DataFrame:
 
 
 def sketches(classes: DataFrame, minima: int = MINIMA) -> DataFrame:
-    """(h1, h2, simhash, size, keys) of classes (h1, h2, words): a key for each two neighbouring minima of the shingles' hashes; simhash is 0."""
+    """(h1, h2, simhash, size, keys, a, b) of classes (h1, h2, words): a key for each two minima of the shingles' hashes; simhash is 0.
+
+    a, b: ten bits of each minimum, six to a number, by which equal minima are counted.
+    """
     n = F.size("x")
     each = classes.select("h1", "h2", F.length("words").alias("size"), F.split("words", " ").alias("x"))
     last = F.greatest(n - F.when(n < SHORT, SHORT_SHINGLE).otherwise(SHINGLE), F.lit(0))
@@ -99,8 +102,18 @@ def sketches(classes: DataFrame, minima: int = MINIMA) -> DataFrame:
     word = [F.get("x", F.col("i") + k) for k in range(SHINGLE)]
     each = each.select("h1", "h2", "size", F.when(n < SHORT, F.xxhash64(*word[:SHORT_SHINGLE])).otherwise(F.xxhash64(*word)).alias("x"))
     least = each.groupBy("h1", "h2", "size").agg(*[F.min(F.xxhash64("x", F.lit(k))).alias(f"m{k}") for k in range(minima)])
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"m{k}"), F.col(f"m{(k + 1) % minima}")) for k in range(minima)])
-    return least.select("h1", "h2", F.lit(0).cast("bigint").alias("simhash"), "size", keys.alias("keys"))
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"m{2 * k}"), F.col(f"m{2 * k + 1}")) for k in range(minima // 2)])
+    lanes = [F.lit(0).cast("bigint")] * 2
+    for k in range(minima):
+        lanes[k % 2] = lanes[k % 2].bitwiseOR(F.call_function("shiftleft", F.pmod(F.xxhash64(f"m{k}"), F.lit(1024)), F.lit(10 * (k // 2 % 6))))
+    return least.select("h1", "h2", F.lit(0).cast("bigint").alias("simhash"), "size", keys.alias("keys"), lanes[0].alias("a"), lanes[1].alias("b"))
+
+
+def equal_lanes(x, y):
+    """How many of six numbers of ten bits are equal in x and y."""
+    low, top = sum(511 << 10 * k for k in range(6)), sum(512 << 10 * k for k in range(6))
+    z = x.bitwiseXOR(y)
+    return 6 - F.bit_count((z.bitwiseAND(low) + low).bitwiseOR(z).bitwiseAND(top))
 
 
 def block_keys(simhash, hamming: int):
@@ -147,41 +160,37 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
     """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared."""
     blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), hamming)
-    keys = classes.select("h1", "h2", "simhash", "size", F.explode_outer(blocks).alias("key"))
+    marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
+    keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
     met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = written(keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", "h1", "h2", class_id(F.col("h1"), F.col("h2")).alias("id"), "simhash", "size"))
+    members = written(keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", "h1", "h2", class_id(F.col("h1"), F.col("h2")).alias("id"), *marks))
     compared = written(members.select("id", "h1", "h2").distinct())
     # The map side of this sum takes a common line's occurrences together.
     texts = lines.where(id_filter(compared, "h1")(F.col("h1"))).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     texts = written(texts.select(class_id(F.col("h1"), F.col("h2")).alias("id"), "words"), 1)
-    narrow = written(members.select("key", "id", "simhash", "size"))
+    narrow = written(members.select("key", "id", *marks))
     drop(met, members)
 
-    def fits(s, n):
-        close = F.bit_count(F.col("simhash").bitwiseXOR(F.col(s))) <= hamming
+    def fits(other):
+        s, n, *lanes = (F.col(other(c)) for c in marks)
+        close = F.bit_count(F.col("simhash").bitwiseXOR(s)) <= hamming
+        if lanes:
+            close = equal_lanes(F.col("a"), lanes[0]) + equal_lanes(F.col("b"), lanes[1]) >= LEAST_EQUAL
         return close & (F.least("size", n) * 100 >= F.greatest("size", n) * percent)
 
-    found, labels, rest = None, None, narrow
-    for turn in range(STAR_ROUNDS):
-        star = led(rest, labels, turn, ("simhash", "size"))
-        drop(rest)
-        rest = star
-        pairs = star.where((F.col("label") != F.col("lead_label")) & fits("lead_simhash", "lead_size")).groupBy("id").agg(F.min("lead").alias("lead"))
-        new = _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionAll(new)
-        labels = connected_components(found)
-    last = rest.drop("label") if labels is None else rest.drop("label").join(labels, "id", "left")
-    last = last.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id")).select("key", "id", "label", "simhash", "size")
-    mixed = last.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    mixed = written(last.join(mixed, "key"))
-    drop(rest)
-    other = mixed.select("key", F.col("id").alias("v"), F.col("label").alias("l"), F.col("simhash").alias("s"), F.col("size").alias("n"))
-    more = mixed.join(other, "key").where(F.col("label") < F.col("l")).where(fits("s", "n")).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    more = _alike(more, texts, percent)
-    drop(mixed, texts)
-    return (more if found is None else found.unionAll(more)), compared
+    def linked(rows: DataFrame, turn: int) -> DataFrame:
+        pairs = rows.where((F.col("label") != F.col("lead_label")) & fits(lambda c: f"lead_{c}")).groupBy("id").agg(F.min("lead").alias("lead"))
+        return _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
+
+    found: list = []
+    left, _ = grown(narrow, marks, found, linked)
+    other = left.select("key", F.col("id").alias("v"), F.col("label").alias("l"), *[F.col(c).alias(f"o_{c}") for c in marks])
+    more = left.select("key", "id", "label", *marks).join(other, "key").where(F.col("label") < F.col("l")).where(fits(lambda c: f"o_{c}"))
+    more = _alike(more.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct(), texts, percent)
+    drop(left, texts)
+    for one in found:
+        more = more.unionAll(one)
+    return more, compared
 
 
 def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming: int = HAMMING, percent: int = SIMILARITY_PERCENT, min_words: int = MIN_WORDS, minima: int = 0) -> DataFrame:
