@@ -1,17 +1,16 @@
 """Fuzzy line dedup, in DataFrame functions only.
 
 A line is normalised to its lower-case words (runs of letters; digits and marks are gaps). Lines of equal words form classes; classes
-link if their 64-bit SimHashes (over words) differ in at most HAMMING bits and the edit similarity of their normalised texts,
-1 - Levenshtein / longer length, is at least SIMILARITY. The query and the pipeline ask for `minima` instead of SimHashes: classes
-are compared if LEAST_EQUAL of MINIMA minima of hashes over their word shingles are equal, two of one pair among them (LSH), since edits of 10 % of a line
-move a SimHash by far more bits than blocks can cover (README has the figures). Of each connected group the first occurrence stays (least
+link if their 64-bit SimHashes (over words) agree in two of HAMMING + 2 blocks and differ in at most CLOSE bits, and the edit similarity of
+their normalised texts, 1 - Levenshtein / longer length, is at least SIMILARITY. Two blocks always agree within HAMMING bits; beyond them
+it depends on where the bits lie (README has the share found). With `minima`, an option that finds nearly all pairs of that edit similarity
+at several times the cost, classes are compared instead if LEAST_EQUAL of MINIMA minima of hashes over their word shingles are equal,
+two of one pair among them (LSH). Of each connected group the first occurrence stays (least
 document id, then line number), all other lines of it go. A line without words always stays.
 
-Candidates: a hash is cut into HAMMING + 2 blocks; two blocks at least agree within HAMMING bits, so classes meet by
-pairs of blocks (pigeonhole), or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, in
+Candidates: classes meet by pairs of blocks (pigeonhole) within a length class, or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, in
 rounds until few pairs are open); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
-yields no square of pairs and no link between components is lost. Pairs of classes that never link do all meet if they share a place, which
-two minima of 64 bits make rare. SimHash bits are summed four to a long, 16 bits each.
+yields no square of pairs and no link between components is lost. Classes that share a place but never link are all compared. SimHash bits are summed four to a long, 16 bits each.
 
 Common lines are counted with map-side sums before anything is joined; joins with a side of unique keys are left to the skew join.
 
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import drop, id_filter, load, written
 from bitloom.llm.graph import connected_components, grown
 
-HAMMING, SIMILARITY_PERCENT, MIN_WORDS = 2, 90, 1
+HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 3, 8, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
@@ -116,12 +115,18 @@ def equal_lanes(x, y):
     return 6 - F.bit_count((z.bitwiseAND(low) + low).bitwiseOR(z).bitwiseAND(top))
 
 
-def block_keys(simhash, hamming: int):
-    """An array with a key for each pair of the hash's hamming + 2 blocks."""
+def block_keys(simhash, size, hamming: int, percent: int):
+    """An array with a key for each pair of the hash's hamming + 2 blocks in the line's length class (powers of two).
+
+    A line that may be alike to ones of the next class has the keys of that class too.
+    """
     n = hamming + 2
     cuts = [64 * i // n for i in range(n + 1)]
     block = [_shift(simhash, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
-    return F.array(*[F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(n), 2))])
+    own = F.floor(F.log2(size)).cast("int")
+    keys = lambda c: F.array(*[F.xxhash64(F.lit(k), block[i], block[j], c) for k, (i, j) in enumerate(combinations(range(n), 2))])
+    next_ = F.call_function("shiftleft", F.lit(1).cast("bigint"), own + 1)
+    return F.when(size * 100 >= next_ * percent, F.concat(keys(own), keys(own + 1))).otherwise(keys(own))
 
 
 #: (a, b) without their common beginning and end, down to 1/256 of the length; the edit distance stays.
@@ -150,7 +155,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = both.select("u", "v", "most", "sure", F.expr("if(sure, '', a)").alias("a"), F.expr("if(sure, '', b)").alias("b"))
     both = both.select("u", "v", "most", "sure", "a", "b", F.least(F.length("a"), F.length("b")).alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[0]).alias("ab"))
     both = both.select("u", "v", "most", "sure", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[1]).alias("ab"))
-    edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 else levenshtein(ab.a, ab.b, most) end"
+    # The distance costs its bound times the length: most links show within a quarter of the bound.
+    edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 when levenshtein(ab.a, ab.b, most div 4) >= 0 then 0 else levenshtein(ab.a, ab.b, most) end"
     # Written before it is filtered, so that the filter is not pushed below what it reads.
     found = written(both.select("u", "v", F.expr(edits).alias("edits")))
     drop(near)
@@ -159,7 +165,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
     """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared."""
-    blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), hamming)
+    blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), F.col("size"), hamming, percent)
     marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
     keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
     met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
@@ -173,7 +179,7 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
 
     def fits(other):
         s, n, *lanes = (F.col(other(c)) for c in marks)
-        close = F.bit_count(F.col("simhash").bitwiseXOR(s)) <= hamming
+        close = F.bit_count(F.col("simhash").bitwiseXOR(s)) <= CLOSE
         if lanes:
             close = equal_lanes(F.col("a"), lanes[0]) + equal_lanes(F.col("b"), lanes[1]) >= LEAST_EQUAL
         return close & (F.least("size", n) * 100 >= F.greatest("size", n) * percent)
@@ -238,5 +244,5 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), minima=MINIMA)
+    out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("row.text", 256).alias("kept_sha256"))

@@ -292,7 +292,13 @@ def distance(a, b):
     return row[-1]
 
 
-def lines_truth(rows, hamming=2, percent=90, least=1):
+def near_hashes(x, y, blocks=op9_lines.HAMMING + 2):
+    z = x ^ y
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return bin(z).count("1") <= op9_lines.CLOSE and sum(z >> a & (1 << b - a) - 1 == 0 for a, b in itertools.pairwise(cuts)) >= 2
+
+
+def lines_truth(rows, percent=90, least=1):
     places = {}
     for i, t in rows:
         if i is None or t is None:
@@ -303,7 +309,7 @@ def lines_truth(rows, hamming=2, percent=90, least=1):
                 places.setdefault(n, set()).add((i, k))
     texts = list(places)
     marks = [simhash(t.split(" ")) for t in texts]
-    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if bin(marks[a] ^ marks[b]).count("1") <= hamming and distance(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])) * (100 - percent) // 100]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if near_hashes(marks[a], marks[b]) and distance(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])) * (100 - percent) // 100]
     comp = components(range(len(texts)), links)
     first = {}
     for k, t in enumerate(texts):
@@ -382,6 +388,7 @@ def test_lines_recall(spark, tmp_path):
         if a != b and distance(a, b) <= max(len(a), len(b)) // 10:
             rows += [(len(rows), a), (len(rows) + 1, b)]
     docs_of(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
-    removed = {r.doc_id: r.n_removed for r in op9_lines.op9_line_dedup(spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in op9_lines.dedup(docs, minima=op9_lines.MINIMA).select("row.doc_id", "n_removed").collect()}
     assert all(removed[k] == 0 for k in range(0, 200, 2))
     assert sum(removed.values()) >= 0.95 * 100
