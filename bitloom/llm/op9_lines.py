@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import drop, id_filter, load, written
 from bitloom.llm.graph import connected_components, grown
 
-HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 3, 8, 90, 1
+HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 4, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
@@ -136,12 +136,6 @@ _TRIMMED = (
 )
 
 
-def class_id(h1, h2):
-    """One number of 124 bits for both hashes of a class."""
-    low = lambda h: h.bitwiseAND((1 << 62) - 1).cast("decimal(19,0)")
-    return (low(h1) * F.lit(1 << 62).cast("decimal(19,0)") + low(h2)).cast("decimal(38,0)")
-
-
 def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) of class ids whose words (texts: id, words) are alike."""
     near = written(pairs)
@@ -169,13 +163,18 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
     marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
     keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
     met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = written(keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", "h1", "h2", class_id(F.col("h1"), F.col("h2")).alias("id"), *marks))
-    compared = written(members.select("id", "h1", "h2").distinct())
+    members = keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", F.col("h1").alias("id"), "h2", *marks)
+    # h1 stands for a class. Where two classes share it, they are left to exact repeats.
+    shared = classes.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least < most").select(F.col("h1").alias("id"))
+    shared = written(shared)
+    if not shared.isEmpty():
+        members = members.join(shared, "id", "left_anti")
+    members = written(members)
+    compared = written(members.groupBy("id").agg(F.first("h2").alias("h2")).select("id", F.col("id").alias("h1"), "h2"))
     # The map side of this sum takes a common line's occurrences together.
     texts = lines.where(id_filter(compared, "h1")(F.col("h1"))).groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    texts = written(texts.select(class_id(F.col("h1"), F.col("h2")).alias("id"), "words"), 1)
-    narrow = written(members.select("key", "id", *marks))
-    drop(met, members)
+    texts = written(texts.join(compared, ["h1", "h2"], "left_semi").select(F.col("h1").alias("id"), "words"), 1)
+    drop(met, shared)
 
     def fits(other):
         s, n, *lanes = (F.col(other(c)) for c in marks)
@@ -189,7 +188,7 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
         return _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
 
     found: list = []
-    left, _ = grown(narrow, marks, found, linked)
+    left, _ = grown(members, marks, found, linked)
     other = left.select("key", F.col("id").alias("v"), F.col("label").alias("l"), *[F.col(c).alias(f"o_{c}") for c in marks])
     more = left.select("key", "id", "label", *marks).join(other, "key").where(F.col("label") < F.col("l")).where(fits(lambda c: f"o_{c}"))
     more = _alike(more.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct(), texts, percent)
