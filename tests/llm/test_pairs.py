@@ -205,6 +205,33 @@ def test_topk(spark, bits, k, n):
         assert got == want
 
 
+@pytest.mark.parametrize("n", [1, 2, 37, 2000, 20_000])
+def test_index_ends_by_coverage(n):
+    """Every query's radius stops where its kth distance is covered, short of the whole slice; random codes are the worst case."""
+    rng = np.random.default_rng(n)
+    data = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64)
+    ids = rng.permutation(n)
+    index = op6_topk.Index(ids, data)
+    q, p, d, covered = index.search(data[:100], 10)
+    for i in range(min(100, n)):
+        away = np.bitwise_count(data ^ data[i]).astype(int)
+        best = np.lexsort((ids, away))[:10]
+        assert p[q == i].tolist() == best.tolist() and d[q == i].tolist() == away[best].tolist()
+        assert n < 10 or away[best[-1]] <= covered[i] < 40
+
+
+def test_topk_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    v = [[float(x) for x in r] for r in rng.normal(size=(30, 64))]
+    rows = [(i, x) for i, x in enumerate(v)] + [(0, v[0]), (0, v[5]), (7, v[7])]
+    data = op6_topk.codes(spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id bigint, embedding array<float>, code int, b int"))
+    got = op6_topk.topk(data, data.where("id = 0"), 4).collect()
+    bits = lambda x: [y > 0 for y in x]
+    away = lambda a, b: sum(x != y for x, y in zip(bits(a), bits(b)))
+    want = [(r + 1, d, i) for c in (v[0], v[5]) for r, (d, i) in enumerate(sorted((away(c, x), i) for i, x in rows)[:4])]
+    assert sorted((r["rank"], r.distance, r.vec_id) for r in got) == sorted(want)
+
+
 def test_topk_empty_and_sql(spark, sf_dir, same_rows):
     data = op6_topk.codes(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert op6_topk.topk(data, data).collect() == []
