@@ -1,22 +1,27 @@
 """Main text of pages by minimum cut.
 
-A page's markup is cut into text blocks, each with its path of elements. A linear classifier over block features
-(kinds of elements and class words on the path, length, link density, sentence marks) gives a log-odds cost, which becomes the capacity
-from the source (content) or to the sink (boilerplate). Smoothness edges join neighbouring blocks, the stronger the more
-of their paths they share, and blocks of the same parent. The minimum cut labels the blocks; a block on the source's side is content.
-Blocks in the subtree of scripts, styles and the like are never text; a drawing (svg) that closes itself or has no end tag is only a tag.
-
-Each page is labelled alone, in linear space; the maximum flow is found by shortest augmenting paths.
-
-Edge cases: null or empty html gives an empty text; markup may be broken or end anywhere; text without any markup is one
-block; a page of boilerplate only has an empty text; repeated rows are treated alike.
+A page's markup is cut into text blocks. A linear classifier over a block's own features (length, share of links, sentence marks, its
+element) and over what encloses it (kinds of elements, words of class names, whether the page's article lies elsewhere) gives a log-odds
+cost, which becomes the capacity from the source (content) or to the sink (boilerplate). Smoothness edges join neighbouring blocks, the
+stronger the nearer they are in the tree of elements, and blocks of one parent, the stronger if they are of one kind. The minimum cut labels the
+blocks; a block on the source's side is content. A block's own evidence is weak (within two or so), as are the edges, so that a short paragraph
+among paragraphs stays and a sentence among links goes; only elements that the page itself names navigation, footer, form and so on are strong.
+
+Only scripts, styles and comments of the markup are never text. Each page is labelled alone. Scanning is linear in the page's length; the maximum
+flow is found by blocking flows.
+
+Edge cases: null or empty html gives an empty text; markup may be broken or end anywhere: a tag that is never closed ends before the next
+one, a quote that is never closed is no quote, and neither is any after it; text without any markup is one block; pages may be of any length
+and depth; a page of boilerplate only has an empty text; repeated rows are treated alike; `keep` columns of any name are returned, but
+a kept one named text or n_chars gives two columns of that name.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,168 +31,206 @@ from bitloom.llm.common import load, pieces
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced menclose semantics annotation object canvas q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced menclose semantics annotation object canvas svg text tspan g path circle rect line use defs iframe noscript q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements within which a start closes nothing that is open outside.
+ENCLOSES = {"p": {"div", "article", "section", "td", "li", "body", "blockquote"}, "other": {"ul", "ol", "dl", "table", "menu", "select"}}
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Log-odds that an element or a word of its class, id or role adds for its whole subtree.
-ELEMENT_COST = {"article": 4.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "button": -6.0, "header": -3.0, "menu": -6.0, "dialog": -6.0, "fieldset": -4.0, "figure": -0.5, "address": -1.0, "label": -3.0}
-WORD_COST = {
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promoted": -7.0,
-    "comment comments disqus respond reply replies discussion reader": -7.0,
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toc skip": -6.0,
-    "sidebar aside rail widget widgets related recommended recommendations popular trending more tags": -6.0,
-    "footer foot copyright legal colophon masthead topbar toolbar site-header page-header": -6.0,
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall": -6.5,
-    "share sharing social follow form search contentinfo complementary": -6.0,
-    "article post entry story content body text main articlebody": 2.5,
-}
-_COST = {w: c for words, c in WORD_COST.items() for w in words.split()}
-BIAS, HEADING, PER_LOG_CHAR, LINKS, SENTENCE = -0.6, 0.4, 0.35, -3.0, 0.6
-#: Smoothness: between neighbours, for each shared path element, and for blocks of one parent.
-NEIGHBOUR, SHARED, SIBLING = 0.15, 0.1, 1.2
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Log-odds that an element adds for its whole subtree.
+ELEMENT = {"nav": -4.5, "footer": -4.5, "aside": -4.5, "form": -4.5, "button": -4.5, "select": -4.5, "textarea": -4.5, "menu": -4.5, "dialog": -4.5, "head": -9.0, "fieldset": -3.0, "header": -3.0, "label": -1.5}
+REGION = {"article": 1.2, "main": 0.8}
+#: Log-odds for words of an element's class, id or role; one of each sign counts.
+AGAINST, FOR = -4.0, 1.0
+AGAINST_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promoted
+    comment comments disqus respond reply replies discussion
+    nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toc
+    sidebar aside widget widgets related recommended recommendations trending
+    footer copyright colophon masthead topbar toolbar contentinfo complementary
+    cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login paywall
+    share sharing social""".split()
+)
+FOR_WORDS = frozenset("article post entry story content body main".split())
+#: A block's own log-odds: bias; per doubling of its length beyond LENGTH characters, within bounds; share of links; a sentence mark at its end; its element.
+BIAS, PER_DOUBLING, LENGTH, SHORTEST, LONGEST, LINKS, SENTENCE, OUTSIDE = 0.6, 0.9, 48, -1.0, 2.0, -4.0, 0.5, -1.5
+KIND = {"p": 0.5, "blockquote": 0.5, "pre": 0.5, "h1": 1.0, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.3, "h6": 0.3, "td": -0.2}
+#: Smoothness: of neighbours at distance 2 in the tree (less in proportion beyond), of blocks of one parent, and the factor where their elements differ.
+NEIGHBOUR, SIBLING, UNLIKE = 1.5, 1.0, 0.25
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _SPACE = re.compile(r"\s+")
-_END = {}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 
 
 class Element:
-    __slots__ = ("cost", "hidden", "links", "name", "number")
+    """An open element: what it and those around it say for and against content."""
+
+    __slots__ = ("against", "depth", "inline", "links", "name", "parent", "region", "support")
+
+    def __init__(self, name, parent, against=0.0, support=0.0, region=0.0, links=False):
+        self.name, self.parent = name, parent
+        self.against, self.support, self.region, self.links = against, support, region, links
+        self.inline = name in INLINE
+        self.depth = parent.depth + (not self.inline) if parent else 0
 
-    def __init__(self, name, number, cost, links, hidden):
-        self.name, self.number, self.cost, self.links, self.hidden = name, number, cost, links, hidden
 
+class Block:
+    __slots__ = ("element", "links", "near", "text")
 
-def _own_cost(name: str, rest: str) -> tuple[float, bool]:
-    cost, hidden = ELEMENT_COST.get(name, 0.0), False
+    def __init__(self, text, element, links, near):
+        self.text, self.element, self.links, self.near = text, element, links, near
+
+
+def _opened(name: str, rest: str, up: Element) -> Element:
+    against, support, region = up.against + ELEMENT.get(name, 0.0) * (name != "header" or not up.region), up.support, max(up.region, REGION.get(name, 0.0))
     if rest and name not in ("html", "body"):
+        words: set = set()
         for m in _ATTRIBUTE.finditer(rest):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                hidden = True
-            elif key in ("class", "id", "role"):
-                found = [_COST[w] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()) if w in _COST]
-                if found:
-                    cost += min(found) if min(found) < 0 else max(found)
-    return cost, hidden
-
-
-def blocks(page: str) -> list[tuple[str, tuple, float, float]]:
-    """(text, path, inherited cost, share of linked characters) of each text block, in page order."""
-    out: list = []
-    stack = [Element("", 0, 0.0, False, False)]
-    text: list = []
-    linked = [0]
-    number = 0
-    unclosed: set = set()
+            words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+        if words & AGAINST_WORDS:
+            against += AGAINST
+        elif words & FOR_WORDS:
+            support = FOR
+    return Element(name, up, against, support, region, up.links or name == "a")
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page, in order. near: depth of the innermost element that a block shares with the one before."""
+    out: list[Block] = []
+    stack = [Element("", None)]
+    runs = [Counter()]  # open inline elements since each open block element
+    open_: Counter = Counter()  # open block elements
+    text: list[str] = []
+    linked, low = 0, 0
 
     def flush():
+        nonlocal linked, low
         if text:
             t = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if t and not stack[-1].hidden:
-                path = [x for x in stack if x.name not in INLINE]
-                out.append((t, tuple(x.number for x in path), path[-1].cost, min(1.0, linked[0] / max(1, len(t))), path[-1].name))
+            if t:
+                home = stack[-1]
+                while home.inline:
+                    home = home.parent
+                out.append(Block(t, stack[-1] if stack[-1].inline and len(stack) > 1 and stack[-1].against != home.against else home, min(1.0, linked / len(t)), min(low, home.depth)))
+                low = home.depth
             text.clear()
-        linked[0] = 0
+        linked = 0
 
     def add(raw):
+        nonlocal linked
         text.append(raw)
         if stack[-1].links:
-            linked[0] += len(raw.strip())
+            linked += len(raw.strip())
+
+    def pop_to(k):
+        nonlocal low
+        for x in stack[k:]:
+            if x.inline:
+                runs[-1][x.name] -= 1
+            else:
+                runs.pop()
+                open_[x.name] -= 1
+        del stack[k:]
+        low = min(low, stack[-1].depth)
 
-    at, n = 0, len(page)
+    def close(names, until):
+        if any(open_[x] for x in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in names:
+                    pop_to(k)
+                    return
+                if stack[k].name in until:
+                    return
+
+    at, n, quotes, ends = 0, len(page), True, page.rfind(">")
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")
-            add(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])  # a tag that the page's end cuts off
+        start = page.find("<", at)
+        if start < 0:
+            add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m["name"] is None:
+        after = page[start + 1 : start + 2]
+        m = _NAME.match(page, start)
+        if m is None and after not in ("!", "?", "/"):  # a sign, not a tag
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        name = m["name"].lower()
-        if m["close"]:
+        tag_at = m.end() if m else start + 1
+        if tag_at > ends:  # no tag is closed any more
+            at = page.find("<", start + 1)
+            at = at if at >= 0 else n
+            continue
+        found = _REST.match(page, tag_at) if quotes and m else None
+        quotes = quotes and (m is None or found is not None)
+        at = found.end() if found else page.find(">", tag_at) + 1
+        if m is None:
+            continue
+        name, rest = m[1].lower(), page[tag_at : at - 1]
+        if page[start + 1] == "/":
             if name in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k]
-                        if any(x.links for x in stack[k:]):
-                            for x in stack[k:]:
-                                x.links = x.name == "a" or stack[k - 1].links
-                        break
-                    if stack[k].name not in INLINE:
-                        break
-                continue
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+                if runs[-1][name]:
+                    k = len(stack) - 1
+                    while stack[k].name != name:
+                        k -= 1
+                    if stack[k].against != stack[k].parent.against:
+                        flush()
+                    pop_to(k)
+            elif open_[name]:
+                flush()
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                pop_to(k)
+            else:
+                flush()
             continue
         if name in RAW:
-            if name not in ("select", "script") and m["rest"].endswith("/") or name in unclosed:
-                continue
-            end = _END.get(name) or _END.setdefault(name, re.compile(rf"</{name}\s*>|</{name}(?=\s)[^>]*>", re.I))
-            e = end.search(page, at)
-            if e is None and name == "svg":
-                unclosed.add(name)
-                continue
-            if name in ("title", "select", "textarea", "template"):
-                flush()
-            at = e.end() if e else n
+            end = _END[name].search(page, at) if not rest.endswith("/") or name == "script" else None
+            at = end.end() if end else at if rest.endswith("/") and name != "script" else n
             continue
+        whole = name in VOID or rest.endswith("/")
         if name in INLINE:
             if name == "br":
                 text.append(" ")
-            elif name not in VOID and not m["rest"].endswith("/"):
-                cost, hidden = _own_cost(name, m["rest"])
-                if cost or hidden:
+            if not whole:
+                x = _opened(name, rest, stack[-1])
+                if x.against != stack[-1].against:
                     flush()
-                number += 1
-                up = stack[-1]
-                x = Element(name if not cost and not hidden else "span*", number, up.cost + cost, up.links or name == "a", up.hidden or hidden)
-                if x.name == "span*":
-                    x.name = name
                 stack.append(x)
+                runs[-1][name] += 1
             continue
         flush()
         if name in ENDS_P:
-            _close(stack, {"p"}, {"div", "article", "section", "td", "li", "body", "blockquote"})
+            close(("p",), ENCLOSES["p"])
         if name in CLOSES:
-            _close(stack, CLOSES[name], {"ul", "ol", "dl", "table", "menu"})
-        if name in VOID or m["rest"].endswith("/"):
+            close(CLOSES[name], ENCLOSES["other"])
+        if whole:
             continue
-        number += 1
-        cost, hidden = _own_cost(name, m["rest"])
-        up = stack[-1]
-        stack.append(Element(name, number, up.cost + cost, up.links and up.name == "a", up.hidden or hidden))
+        while stack[-1].inline and stack[-1].name != "a":  # a block ends the marks that are open around it
+            pop_to(len(stack) - 1)
+        stack.append(_opened(name, rest, stack[-1]))
+        runs.append(Counter())
+        open_[name] += 1
     flush()
     return out
 
 
-def _close(stack, names, until):
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            del stack[k:]
-            return
-        if stack[k].name in until:
-            return
-
-
-def cost(block) -> float:
+def cost(block: Block, has_region: bool) -> float:
     """Log-odds that a block is content."""
-    text, _, inherited, links, name = block
-    size = len(text)
-    value = BIAS + inherited + PER_LOG_CHAR * min(12, size.bit_length()) + LINKS * links
-    value += SENTENCE if text[-1] in ".!?…\"”»:;" else 0.0
-    value += HEADING if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    return value
+    x, size = block.element, len(block.text)
+    value = BIAS + max(SHORTEST, min(LONGEST, PER_DOUBLING * math.log2(size / LENGTH))) + LINKS * block.links + KIND.get(x.name, 0.0)
+    value += SENTENCE if block.text[-1] in ".!?…\"”»:;。！？" else 0.0
+    value += x.against if x.against else x.support + x.region
+    return value + (OUTSIDE if has_region and not (x.region and not x.against) else 0.0)
 
 
 def cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -261,24 +304,26 @@ def cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 u = to[path.pop() ^ 1]
 
 
-def label(found) -> list[bool]:
+def graph(found: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Costs of the blocks and the smoothness edges between them."""
+    has_region = any(b.element.region and not b.element.against for b in found)
     edges, last = [], {}
     for i, b in enumerate(found):
-        path = b[1]
+        x, parent = b.element, id(b.element.parent)
         if i:
-            before = found[i - 1][1]
-            shared = 0
-            for x, y in zip(path, before):
-                if x != y:
-                    break
-                shared += 1
-            # Neighbours with nothing in common but the page's frame are joined weakly.
-            edges.append((i - 1, i, NEIGHBOUR + SHARED * max(0, shared - 3)))
-        parent = path[-2] if len(path) > 1 else -1
-        if parent in last:
-            edges.append((last[parent], i, SIBLING if parent > 2 else SIBLING / 8))
-        last[parent] = i
-    return cut([cost(b) for b in found], edges)
+            y = found[i - 1].element
+            distance = max(2, x.depth + y.depth - 2 * min(b.near, x.depth, y.depth))
+            like = 1.0 if x.name == y.name and x.parent is y.parent or x is y else UNLIKE
+            edges.append((i - 1, i, 2 * NEIGHBOUR * like / distance))
+        kind = (parent, x.name)
+        if last.get(kind, i - 1) < i - 1:
+            edges.append((last[kind], i, SIBLING))
+        last[kind] = i
+    return [cost(b, has_region) for b in found], edges
+
+
+def label(found: list[Block]) -> list[bool]:
+    return cut(*graph(found))
 
 
 def extract(page) -> str:
@@ -288,7 +333,7 @@ def extract(page) -> str:
     found = blocks(page)
     if not found:
         return ""
-    return " ".join(b[0] for b, kept in zip(found, label(found)) if kept)
+    return " ".join(b.text for b, kept in zip(found, label(found)) if kept)
 
 
 def extract_text(df: DataFrame, html_: str = "html", keep=("page_id", "url")) -> DataFrame:
