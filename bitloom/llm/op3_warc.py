@@ -6,14 +6,20 @@
 own text writer (bytes pass through it unchanged, gzip outside), so files are committed
 task by task, survive lost executors and need only the shared folder.
 
-A file holds one partition of its input; readers parse a file as a stream of records.
+A file holds one partition of its input, of which there are enough that none has much more than FILE_BYTES; readers parse a file as a stream of
+records. Spark's writer compresses a file as one gzip member, not record by record.
 
 Record types: of records with equal payloads of at least `min_revisit` bytes, that with the smallest id is a
-response, the others are revisits which name it; smaller ones are all responses.
+response, the others are revisits which name it (its record id, URL and date, and its source id); smaller ones are all responses. A revisit is made
+from the archive's header data; whole blocks are shuffled only where a filter of the revisits' record ids lets them pass.
+
+URLs are archived as they are. Blanks and control bytes, which an ARC line cannot hold, are escaped there (a URL `-` too, as that stands for none);
+such records carry the URL itself in a field of their HTTP header.
 
 Edge cases: a null payload is an empty one; null ids or URLs are kept as null (a null id is never
-referred to, and a record without id is a response); repeated rows give repeated records, which revisit each other's id
-only if the ids differ; an empty table gives an empty archive.
+referred to, and a record without id is a response); repeated rows give repeated records with record ids of their own, which revisit each other's
+id only if the ids differ; rows of one id with different payloads are separate records; other columns are not read, whatever their names;
+an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote_from_bytes, unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import arrow_schema, ddl, load, work_dir
+from bitloom.llm.common import arrow_schema, cleaned, ddl, drop, id_filter, load, work_dir, written
 
 #: Least payload of a revisit, in bytes.
 MIN_REVISIT = 0
@@ -39,6 +46,9 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 READ_BLOCK = 1 << 20
+#: Payload bytes of a file, about.
+FILE_BYTES = 1 << 30
+URL_FIELD = b"X-Source-URL"
 
 
 def digest_of(payload: bytes) -> str:
@@ -47,26 +57,17 @@ def digest_of(payload: bytes) -> str:
 
 def _lines(df: DataFrame, path: str) -> None:
     """A binary column `record` as gzip files; the writer ends each record by a line feed."""
-    df.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    with cleaned(df.sparkSession):
+        df.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def _quoted(url) -> bytes:
-    """A URL as a field of an ARC line: no blanks or line ends; '-' is null."""
+def _field(url) -> bytes:
+    """A URL as a field of a header line: as it is, but for blanks, line ends and control bytes; '-' is null."""
     if url is None:
         return b"-"
     if url == "-":
         return b"%2D"
-    return b"".join(b"%%%02X" % c if c <= 32 or c in (37, 127) else bytes([c]) for c in url.encode()) or b"%"
-
-
-def _unquoted(field: bytes):
-    if field == b"-":
-        return None
-    if field == b"%" or b"%" not in field:
-        return "" if field == b"%" else field.decode()
-    from urllib.parse import unquote_to_bytes
-
-    return unquote_to_bytes(field).decode()
+    return b"".join(b"%%%02X" % c if c <= 32 or c == 127 else bytes([c]) for c in url.encode()) or b"%20"
 
 
 def arc_version_block(version: int, name: str) -> bytes:
@@ -76,14 +77,21 @@ def arc_version_block(version: int, name: str) -> bytes:
 
 
 def arc_record(version: int, url, id_, payload: bytes, name: str) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"" if id_ is None else b"X-Source-Id: %d\r\n" % id_) + b"Content-Length: %d\r\n\r\n" % len(payload)
-    block = http + payload
+    field = _field(url)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"" if id_ is None else b"X-Source-Id: %d\r\n" % id_)
+    if url is not None and field != url.encode():
+        http += URL_FIELD + b": " + quote_from_bytes(url.encode(), safe="/:?&=").encode() + b"\r\n"
+    block = http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
     more = b"" if version == 1 else b" 200 %s - 0 %s" % (hashlib.md5(block).hexdigest().encode(), name.encode())
-    return b"%s %s %s text/html%s %d\n" % (_quoted(url), ARC_IP.encode(), ARC_DATE.encode(), more, len(block)) + block
+    return b"%s %s %s text/html%s %d\n" % (field, ARC_IP.encode(), ARC_DATE.encode(), more, len(block)) + block
 
 
 def write_arc(pages: DataFrame, path: str, id_: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Pages as ARC files below path: version 1 for even partitions, 2 for odd ones."""
+    with cleaned(pages.sparkSession):
+        size = pages.select(F.sum(F.octet_length(F.col(payload).cast("binary")))).first()[0] or 0
+    if size // FILE_BYTES >= max(1, pages.sparkSession.sparkContext.defaultParallelism):
+        pages = pages.select(id_, url, payload).repartition(size // FILE_BYTES + 1)
     rows = pages.select(F.spark_partition_id().alias("part"), F.col(id_).cast("bigint").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
 
     def apply(batches):
@@ -162,39 +170,51 @@ def _http(block: bytes) -> tuple[bytes, bytes, dict]:
 
 
 def parse_arc(packed: bytes):
-    """(url, ip, date, mime, block) of each record after the version block, whose line says the version."""
+    """(url, ip, date, block) of each record, by the fields that the file's own version block names; that block is as long as its line declares."""
     s, fields = Stream(packed), None
     while (line := s.line()) is not None:
         if not line.strip():
             continue
         parts = line.split(b" ")
         if parts[0].startswith(b"filedesc://"):
-            version = int(s.line().split(b" ")[0])
-            fields = ARC_FIELDS.get(version)
-            if fields is None:
-                raise ValueError(f"ARC version {version}")
-            s.line(), s.line()
+            body = s.take(int(parts[-1])).split(b"\n")
+            if body[0].split(b" ")[0] not in (b"1", b"2") or len(body) < 2:
+                raise ValueError(f"not an ARC version block: {body[0][:80]!r}")
+            fields = body[1].strip().decode().split(" ")
             continue
         if fields is None or len(parts) != len(fields):
             raise ValueError(f"not an ARC header line: {line[:80]!r}")
         x = dict(zip(fields, parts))
-        yield _unquoted(x["URL"]), x["IP-address"].decode(), x["Archive-date"].decode(), x["Content-type"].decode(), s.take(int(x["Archive-length"]))
+        url = None if x["URL"] == b"-" else x["URL"].decode()
+        yield url, x["IP-address"].decode(), x["Archive-date"].decode(), s.take(int(x[fields[-1]]))
+
+
+def _stamp(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def record_id(file: str, number: int) -> str:
+    """A record's identifier, by its place in the archive that it comes from."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file} {number}')}"
+
 
+def warc_info(name: str) -> bytes:
+    body = b"software: bitloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(name, -1)}>", f"WARC-Date: {_stamp(ARC_DATE)}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r"
 
-def warc_record(url, ip, date, block: bytes, payload_digest: str, refers_to=None) -> bytes:
-    """A response or, with refers_to, a revisit record; without the line feed that the writer adds."""
-    http, payload, fields = _http(block)
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    own = fields.get(b"x-source-id", b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{own.decode()} {date} {payload_digest} {url}")
-    kept = http if refers_to is not None else block
-    head = ["WARC/1.1", "WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {stamp}", f"WARC-IP-Address: {ip}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest_of(kept)}"]
+
+def warc_record(record: str, url, ip, date, head: bytes, payload: bytes, payload_digest: str, first=None) -> bytes:
+    """A response or, with first (id, record, url, date of the response), a revisit; without the line feed that the writer adds."""
+    kept = head if first else head + payload
+    lines = ["WARC/1.1", "WARC-Type: " + ("revisit" if first else "response"), f"WARC-Record-ID: <{record}>", f"WARC-Date: {_stamp(date)}", f"WARC-IP-Address: {ip}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest_of(kept)}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_quoted(url).decode()}")
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Source: {refers_to}"]
-    head.append(f"Content-Length: {len(kept)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + kept + b"\r\n\r"  # the writer's line feed is the last byte
+        lines.append(f"WARC-Target-URI: {_field(url).decode()}")
+    if first:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{first['record']}>", f"WARC-Refers-To-Date: {_stamp(first['date'])}", f"X-Refers-To-Source: {first['id']}"]
+        lines += [] if first["url"] is None else [f"WARC-Refers-To-Target-URI: {_field(first['url']).decode()}"]
+    lines.append(f"Content-Length: {len(kept)}")
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + kept + b"\r\n\r"  # the writer's line feed is the last byte
 
 
 def parse_warc(packed: bytes):
@@ -213,24 +233,30 @@ def parse_warc(packed: bytes):
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+
 
+def _own_url(fields: dict, url):
+    """The URL that a record was made for: its header's, if that has one."""
+    own = fields.get(URL_FIELD.lower())
+    return url if own is None else unquote_to_bytes(own).decode()
 
-_ARC = arrow_schema(id="long", url="string", ip="string", date="string", digest="string", size="long", block="binary")
 
+_ARC = arrow_schema(id="long", record="string", url="string", ip="string", date="string", digest="string", size="long", head="binary", payload="binary")
 
-def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """A row per record of the ARC files below path; without blocks, their digests only."""
+
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row per record of the ARC files below path, payloads or only their digests."""
 
     def apply(batches):
         for batch in batches:
-            for packed in batch.column("content"):
-                rows, held = [], 0
-                for url, ip, date, _, block in parse_arc(packed.as_py()):
-                    _, payload, fields = _http(block)
+            for name, packed in zip(batch.column("path"), batch.column("content")):
+                rows, held, file = [], 0, name.as_py().rsplit("/", 1)[-1]
+                for number, (url, ip, date, block) in enumerate(parse_arc(packed.as_py())):
+                    head, payload, fields = _http(block)
                     own = fields.get(b"x-source-id")
-                    rows.append((None if own is None else int(own), url, ip, date, digest_of(payload), len(payload), block if blocks else None))
-                    held += len(block) + 200
+                    rows.append((None if own is None else int(own), record_id(file, number), _own_url(fields, url), ip, date, digest_of(payload), len(payload), head, payload if payloads else None))
+                    held += len(block) * payloads + 500
                     if held > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARC)], schema=_ARC)
                         rows, held = [], 0
@@ -238,23 +264,37 @@ def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARC)], schema=_ARC)
 
     out = _files(spark, path).mapInArrow(apply, ddl(_ARC))
-    return out if blocks else out.drop("block")
+    return out if payloads else out.drop("payload")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = MIN_REVISIT) -> None:
     """The ARC files below arc_path as WARC files below warc_path."""
-    seen = read_arc(spark, arc_path, blocks=False).where(F.col("id").isNotNull() & (F.col("size") >= min_revisit)).select("id", "digest", "size")
-    first = seen.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = seen.join(first, ["digest", "size"]).where("id > first").select("id", "first").distinct()
-    rows = read_arc(spark, arc_path).join(again, "id", "left")
+    seen = written(read_arc(spark, arc_path, payloads=False))
+    known = seen.where(F.col("id").isNotNull() & (F.col("size") >= min_revisit))
+    first = known.groupBy("digest", "size").agg(F.min(F.struct("id", "record", "url", "date")).alias("first"), F.max("id").alias("last")).where("last > first.id")
+    again = written(known.join(first.drop("last"), ["digest", "size"]).where("id > first.id"))
+    columns = ["record", "url", "ip", "date", "head", "digest"]
+    whole = read_arc(spark, arc_path).select(*columns, "payload")
+    maybe = id_filter(again, "record")(F.col("record"))
+    rest = whole.where(maybe).join(again.select("record"), "record", "left_anti").select(whole.columns)
+    responses = whole.where(~maybe).unionByName(rest).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    rows = responses.unionByName(again.select(*columns, F.lit(b"").alias("payload"), "first"))
 
     def apply(batches):
+        info = None
         for batch in batches:
-            c = {n: batch.column(n) for n in batch.schema.names}
-            out = [warc_record(c["url"][i].as_py(), c["ip"][i].as_py(), c["date"][i].as_py(), c["block"][i].as_py(), c["digest"][i].as_py(), c["first"][i].as_py()) for i in range(batch.num_rows)]
+            c = [batch.column(n) for n in (*columns, "payload", "first")]
+            out = []
+            for i in range(batch.num_rows):
+                record, url, ip, date, head, digest, payload, one = (x[i].as_py() for x in c)
+                if info is None:
+                    info = warc_info(record)
+                    out.append(info)
+                out.append(warc_record(record, url, ip, date, head, payload, digest, one))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     _lines(rows.mapInArrow(apply, "record binary"), warc_path)
+    drop(seen, again)
 
 
 _WARC = arrow_schema(source_id="long", url="string", record_id="string", date="string", record_type="string", payload_bytes="long", payload_digest="string", refers_to="long", payload="binary")
@@ -270,13 +310,15 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
             raise ValueError("a payload does not have the digest that its record declares")
         own, refers = http.get(b"x-source-id"), fields.get(b"x-refers-to-source")
         uri = fields.get(b"warc-target-uri")
-        return (None if own is None else int(own), None if uri is None else _unquoted(uri), fields[b"warc-record-id"].decode(), fields[b"warc-date"].decode(), kind, int(http[b"content-length"]), digest, None if refers is None else int(refers), payload if payloads else None)
+        return (None if own is None else int(own), _own_url(http, None if uri is None else uri.decode()), fields[b"warc-record-id"].decode().strip("<>"), fields[b"warc-date"].decode(), kind, int(http[b"content-length"]), digest, None if refers is None else int(refers), payload if payloads else None)
 
     def apply(batches):
         for batch in batches:
             for packed in batch.column("content"):
                 rows, held = [], 0
                 for fields, block in parse_warc(packed.as_py()):
+                    if fields[b"warc-type"] == b"warcinfo":
+                        continue
                     rows.append(row(fields, block))
                     held += 400 + len(block) * payloads
                     if held > 8_000_000:

@@ -54,7 +54,7 @@ AGAINST_WORDS = frozenset(
 )
 FOR_WORDS = frozenset("article post entry story content body main".split())
 #: A block's own log-odds: bias; per doubling of its length beyond LENGTH characters, within bounds; share of links; a sentence mark at its end; its element.
-BIAS, PER_DOUBLING, LENGTH, SHORTEST, LONGEST, LINKS, SENTENCE, OUTSIDE = 0.6, 0.9, 48, -1.0, 2.0, -4.0, 0.5, -1.5
+BIAS, PER_DOUBLING, LENGTH, SHORTEST, LONGEST, LINKS, SENTENCE, OUTSIDE = 0.6, 0.9, 48, -1.0, 2.0, -4.0, 0.5, -3.2
 KIND = {"p": 0.5, "blockquote": 0.5, "pre": 0.5, "h1": 1.0, "h2": 0.3, "h3": 0.3, "h4": 0.3, "h5": 0.3, "h6": 0.3, "td": -0.2}
 #: Smoothness: of neighbours at distance 2 in the tree (less in proportion beyond), of blocks of one parent, and the factor where their elements differ.
 NEIGHBOUR, SIBLING, UNLIKE = 1.5, 1.0, 0.25

@@ -4,13 +4,14 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII. Of each slidi
 hash of its word K-grams is kept, on both sides; a shared span of SPAN words therefore shares a fingerprint. Documents that
 share one are candidates; there, each K-gram that is a fingerprint of an item is extended to both sides word by word, and counts
 if it grows to SPAN words. All SPAN-word windows around it are inside the extension, so hits are exact. Items shorter than SPAN
-are one window each and are looked up by their longest word.
+are one window each and are looked up by their longest word; of a document only the places of such words are kept, with a few words around.
 
 The benchmark's fingerprints are broadcast only if they are few (counted first); else the join is a shuffle. Texts are
 shuffled for candidates only.
 
 Edge cases: null text has no words; a null doc_id or item_id is a value like others (a null item is counted but not
-listed); repeated rows are judged alike; items without words never occur; empty tables: nothing is hit.
+listed); repeated rows are judged alike, and rows of one id with different texts each by its own; texts of any length are taken whole, in time
+that grows with their length; other columns are not read, whatever their names; items without words never occur; empty tables: nothing is hit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import load, small, written
+from bitloom.llm.common import id_filter, load, small, written
 
 SPAN, K = 10, 5
 #: Fixed value: what stands between words, after lower-casing.
@@ -98,15 +99,15 @@ def spans(docs: DataFrame, items: DataFrame, text: str = "text", id_: str = "doc
     short = bench.where(F.size("words") < span)
     if not short.isEmpty():
         longest = F.expr("array_max(transform(words, (x, i) -> struct(length(x) as size, x as word, i as place)))")
-        short = short.select("item", F.col("words").alias("item_words"), longest["word"].alias("word"), longest["place"].alias("place"))
+        short = written(short.select("item", F.col("words").alias("item_words"), longest["word"].alias("word"), longest["place"].alias("place")))
+        asked = written(short.select("word").distinct())
+        # Only places of such words are kept, each with the words around it that an item can reach.
+        p, first = F.col("p"), F.greatest(F.col("p") - (span - 2), F.lit(0))
         at = rows.select("doc", "mark", words_of(F.col("text")).alias("words")).select("doc", "mark", "words", F.posexplode_outer("words").alias("p", "word"))
-        if small(short):
-            near = at.join(F.broadcast(short), "word")
-        else:  # the words are joined to the places that an item's longest word has
-            near = at.drop("words").join(short, "word").join(rows.select(F.col("doc").alias("doc_"), F.col("mark").alias("mark_"), words_of(F.col("text")).alias("words")).dropDuplicates(["doc_", "mark_"]), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("mark") == F.col("mark_")))
-        start = F.col("p") - F.col("place")
-        near = near.where(start >= 0).where(F.slice("words", F.greatest(start + 1, F.lit(1)), F.size("item_words")) == F.col("item_words"))
-        hits = hits.unionByName(near.select("doc", "mark", "item", start.alias("start"), (start + F.size("item_words")).alias("end")))
+        at = at.where(id_filter(asked, "word")(F.coalesce("word", F.lit("")))).select("doc", "mark", "p", "word", first.alias("first"), F.slice("words", first + 1, 2 * span).alias("around"))
+        near = at.join(F.broadcast(short) if small(short) else short, "word").withColumn("start", p - F.col("place")).where("start >= 0")
+        near = near.where(F.slice("around", F.col("start") - F.col("first") + 1, F.size("item_words")) == F.col("item_words"))
+        hits = hits.unionByName(near.select("doc", "mark", "item", "start", (F.col("start") + F.size("item_words")).alias("end")))
     return hits
 
 

@@ -5,15 +5,18 @@ labelled rows and then frozen. A text's code length under a tree is exact: each
 in the longest context of the tree that matches, escapes included. The language with the shortest code wins;
 the score is its posterior probability under equal priors, 1 / sum(2^(shortest - length)).
 
-Folding maps ASCII letters to lower case, other ASCII to one blank (runs of it to one), second bytes of Latin letters
-to lower case; other bytes stay. Costs are tables over (context, byte), so scoring is table lookups in numpy.
+Folding maps ASCII letters to lower case, other ASCII to one blank (runs of it to one), second bytes of Latin-1 letters (those
+after 0xC3) to lower case; other bytes stay. Costs are tables over (context, byte), so scoring is table lookups in numpy.
 
 The trees are fitted on a bounded sample: about `sample_docs` whole documents of each language, chosen by a hash of their id.
-Contexts below `min_context` occurrences and beyond `max_contexts` of a language are pruned to their suffix.
+Contexts below `min_context` occurrences and beyond `max_contexts` of a language are pruned to their suffix, and the least frequent of
+each language too, as far as the tables would be larger than `memory` bytes: many languages have shallower trees, not larger ones. At most MAX_LANGS
+languages are learned, the most frequent ones.
 
 Edge cases: null text, or text without a letter: `und`, score 0. Texts of any length are scored whole. Equal code
 lengths: the first language in alphabetical order. Without training rows everything is `und`. Rows with null
-lang are never trained on; repeated rows are predicted alike.
+lang are never trained on; repeated rows are predicted alike; a null id is trained on and not held out; of other columns only
+those in `keep` are read, and one of them named lang_pred or score gives two columns of that name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import arrow_schema, ddl, load, pieces
 
-SAMPLE_DOCS, MIN_CONTEXT, MAX_CONTEXTS = 400, 8, 12_000
+SAMPLE_DOCS, MIN_CONTEXT, MAX_CONTEXTS, MAX_LANGS, MEMORY = 400, 8, 12_000, 256, 256 << 20
 UND = "und"
 BLOCK = 1 << 19
 #: Code lengths are kept in 1/SCALE bits, as integers, so that sums do not depend on their order.
@@ -39,7 +42,6 @@ def fold_table() -> np.ndarray:
     ascii_ = np.arange(128)
     letter = ((ascii_ >= 65) & (ascii_ <= 90)) | ((ascii_ >= 97) & (ascii_ <= 122))
     t[:128] = np.where(letter, ascii_ | 32, 32)
-    t[0x80:0x9F] += 0x20
     return t
 
 
@@ -54,6 +56,9 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(data), np.uint8)
     starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
     s = _FOLD[raw]
+    # After 0xC3, the second bytes of the upper-case letters A-grave to Thorn (0x97 is the multiplication sign).
+    upper = (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)
+    s[1:][upper] += 0x20
     pad = (starts[:, None] + np.arange(3)).ravel()
     s[pad] = 0
     keep = np.ones(len(s), bool)
@@ -74,7 +79,7 @@ def grams(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Model:
     """Frozen trees. counts: for each language, sorted grams and how often each occurred."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT, max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT, max_contexts: int = MAX_CONTEXTS, memory: int = MEMORY):
         self.langs = sorted(counts)
         seen = np.zeros(256, bool)
         for g, _ in counts.values():
@@ -88,9 +93,8 @@ class Model:
             parts = [self.symbol[(g >> k) & 255] for k in (24, 16, 8, 0)]
             full[lang] = (parts, n.astype(np.int64))
         # Contexts by order: number of the context (a mixed-base number of its symbols) -> node.
-        nodes = [np.zeros(1, np.int64)]
+        ranked: list = [[], [], []]
         for order in (1, 2, 3):
-            kept = []
             for parts, n in full.values():
                 real = np.all([p > 0 for p in parts[3 - order : 3]], axis=0)
                 code = np.zeros(len(n), np.int64)
@@ -99,8 +103,16 @@ class Model:
                 ids, inverse = np.unique(code[real], return_inverse=True)
                 total = np.bincount(inverse, n[real], len(ids))
                 ids, total = ids[total >= min_context], total[total >= min_context]
-                kept.append(ids[np.lexsort((ids, -total))][:max_contexts])
-            nodes.append(np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64))
+                ranked[order - 1].append(ids[np.lexsort((ids, -total))][:max_contexts])
+        room = max(1, memory // (4 * a * max(len(self.langs), 1)))  # rows of the cost table
+        most, least = max([len(x) for per in ranked for x in per], default=0), 0
+        pick = lambda m: [np.zeros(1, np.int64)] + [np.unique(np.concatenate([x[:m] for x in per])) if per else np.zeros(0, np.int64) for per in ranked]
+        if sum(map(len, pick(most))) > room:
+            while most - least > 1:
+                middle = (least + most) // 2
+                least, most = (least, middle) if sum(map(len, pick(middle))) > room else (middle, most)
+            most = least
+        nodes = pick(most)
         first = np.cumsum([0, *map(len, nodes)])
         # The longest kept context of any three symbols.
         table = np.zeros(a**3, np.int32)
@@ -185,7 +197,7 @@ def of_suffix(suffix, order, nodes, first, a):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Gram counts by language over the sample; what Model takes. Sample and counts are bounded by sample_docs."""
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
@@ -234,10 +246,10 @@ def predict(df: DataFrame, counts: dict, text: str = "text", keep=("doc_id",)) -
 
 def held_out(id_):
     """Whether a document is kept out of training."""
-    return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    counts = train(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    counts = train(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, counts).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -298,6 +298,25 @@ def test_winnowing_large_benchmark(spark, sf_dir, same_rows, monkeypatch):
     same_rows(op7_winnowing.op7_decontamination(spark, sf_dir), op7_winnowing.SQL)
 
 
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(50)]
+    items = [(k, " ".join(rng.choices(words, k=1 + k % 9))) for k in range(40)] + [(99, "w1")]
+    rows = [(k, " ".join(rng.choices(words + ["x"], k=n))) for k, n in enumerate([20_000, 20_000, 300, 5, 0])]
+    rows += [(10, "w3"), (10, "w1 w2")]
+    got = op7_winnowing.judge(docs_of(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = []
+    for i, t in rows:
+        w, hit, found = t.split(), set(), 0
+        for _, x in items:
+            x = x.split()
+            at = [p for p in range(len(w) - len(x) + 1) if w[p : p + len(x)] == x]
+            found += bool(at)
+            hit.update(p + q for p in at for q in range(len(x)))
+        want.append((i, len(w), len(hit), found))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == sorted(want)
+
+
 # op9
 
 

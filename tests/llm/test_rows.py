@@ -115,7 +115,8 @@ def test_arc_parser_versions():
         records = [("http://a/ b", 5, b"pay\nload"), (None, None, b"")]
         data = op3_warc.arc_version_block(version, "n") + b"\n".join(op3_warc.arc_record(version, u, i, p, "n") for u, i, p in records) + b"\n"
         parts = gzip.compress(data[:100]) + gzip.compress(data[100:])  # several members
-        got = [(u, op3_warc._http(b)[1]) for u, _, _, _, b in op3_warc.parse_arc(parts)]
+        read = [(u, *op3_warc._http(b)) for u, _, _, b in op3_warc.parse_arc(parts)]
+        got = [(op3_warc._own_url(fields, u), payload) for u, _, payload, fields in read]
         assert got == [(u, p) for u, _, p in records]
     with pytest.raises(ValueError):
         list(op3_warc.parse_arc(gzip.compress(op3_warc.arc_version_block(1, "n") + b"http://x bad line\n")))
@@ -123,6 +124,40 @@ def test_arc_parser_versions():
         list(op3_warc.parse_arc(gzip.compress(op3_warc.arc_version_block(1, "n") + b"http://x 0.0.0.0 20240101000000 text/html 99\nshort")))
 
 
+def test_arc_of_others():
+    """The version block is as long as declared, and its own line names the fields."""
+    import gzip
+
+    body = b"1 0 Some crawler\nURL Archive-date IP-address Archive-length\nmetadata: kept here\nhttp://not/a 1 2 3\n"
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    data = b"filedesc://x.arc 0.0.0.0 19960923142103 text/plain %d\n" % len(body) + body + b"\nhttp://x/a%%20b 20010203040506 1.2.3.4 %d\n" % len(block) + block + b"\n"
+    assert list(op3_warc.parse_arc(gzip.compress(data))) == [("http://x/a%20b", "1.2.3.4", "20010203040506", block)]
+
+
+def test_warc_fields(spark, tmp_path):
+    rows = [(1, "http://x/a%20b", "AAA"), (2, "http://x/c d", "BBB"), (7, None, "AAA"), (7, "http://x/7", "BBB"), (7, "http://x/7", "BBB"), (9, "-", "CCC")]
+    got = archive(spark, rows, tmp_path)
+    assert sorted((r.source_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in got if r.source_id == 7) == sorted([(7, op3_warc.digest_of(b"AAA")[:4], "revisit", 1)] + [(7, op3_warc.digest_of(b"BBB")[:4], "revisit", 2)] * 2)
+    assert len({r.record_id for r in got}) == 6 and sorted(str(r.url) for r in got) == sorted(str(u) for _, u, _ in rows)
+    fields = [f for r in spark.read.format("binaryFile").load(f"{tmp_path}/warc/*.gz").collect() for f, _ in op3_warc.parse_warc(r.content)]
+    assert sum(f[b"warc-type"] == b"warcinfo" for f in fields) >= 1
+    assert b"http://x/a%20b" in {f.get(b"warc-target-uri") for f in fields}
+    names = {f[b"warc-record-id"]: f for f in fields}
+    assert len(names) == len(fields)
+    for f in fields:
+        if f[b"warc-type"] == b"revisit":
+            at = names[f[b"warc-refers-to"]]
+            assert at[b"warc-type"] == b"response" and at[b"warc-payload-digest"] == f[b"warc-payload-digest"] and at.get(b"warc-target-uri") == f.get(b"warc-refers-to-target-uri")
+
+
+def test_warc_empty_and_other_columns(spark, tmp_path):
+    assert archive(spark, [], tmp_path / "a") == []
+    pages = spark.createDataFrame([(1, "u", "x", 5, "r"), (2, "v", "x", 6, "s")], "page_id bigint, url string, html string, id int, record string")
+    op3_warc.write_arc(pages, f"{tmp_path}/b/arc")
+    op3_warc.convert(spark, f"{tmp_path}/b/arc", f"{tmp_path}/b/warc")
+    assert sorted((r.source_id, r.record_type, r.refers_to) for r in op3_warc.read_warc(spark, f"{tmp_path}/b/warc").collect()) == [(1, "response", None), (2, "revisit", 1)]
+
+
 @pytest.mark.parametrize("name", ["op3_warc", "op5_url_filters"])
 def test_queries_match_sql(spark, sf_dir, same_rows, name):
     same_rows(registry.queries()[name](spark, sf_dir), registry.oracle_sql()[name])
@@ -325,6 +360,30 @@ def test_code_lengths():
             assert m.lengths([text])[0, 0] / op8_langid.SCALE == pytest.approx(code_length(counts[lang], text, m), abs=0.001 * len(text) + 0.01)
 
 
+def test_folding_is_of_latin_letters_only():
+    fold = lambda t: bytes(op8_langid.fold([t])[0][3:])
+    assert fold("ÀÉÖØÞ×") == "àéöøþ×".encode() and fold("ABC") == b"abc"
+    for a, b in ("\u4e80\u4ea0", "ЀР", "ΈΨ"):
+        assert fold(a) == a.encode() and fold(a) != fold(b)
+    for t in ("Привет мир", "Καλημέρα", "你好世界"):
+        assert fold(t).replace(b" ", b"") == t.encode().replace(b" ", b"")
+
+
+def test_many_languages_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts, counts = {}, {}
+    for k in range(60):
+        start = [0x61, 0x430, 0x3B1, 0x4E00][k % 4]
+        letters = [chr(start + x) for x in rng.integers(0, 24, 14)]
+        texts[f"l{k:02}"] = " ".join("".join(rng.choice(letters, rng.integers(2, 8))) for _ in range(6000))
+        g, n = np.unique(op8_langid.grams(*op8_langid.fold([texts[f"l{k:02}"][:30_000]])), return_counts=True)
+        counts[f"l{k:02}"] = (g, n)
+    m = op8_langid.Model(counts, memory=64 << 20)
+    assert m.cost.nbytes <= 64 << 20 and m.table.nbytes <= 256**3 * 4
+    langs, _ = m.predict([t[30_000:31_000] for t in texts.values()])
+    assert sum(a == b for a, b in zip(langs, texts)) >= 57
+
+
 def test_blocks_do_not_matter(monkeypatch):
     t = ["the cat and the hat", "x", "", "über alles ist nichts " * 50, "end"]
     g, n = np.unique(op8_langid.grams(*op8_langid.fold(t)), return_counts=True)
