@@ -27,7 +27,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counts = op8_langid.train(docs.where(~F.coalesce(op8_langid.held_out(F.col("doc_id")), F.lit(False))))
+    counts = op8_langid.train(docs.where(~op8_langid.held_out(F.col("doc_id"))))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
     found = op8_langid.predict(rows, counts, keep=("doc",))
     return found.where((F.col("lang_pred") != op8_langid.UND) & (F.col("score") >= MIN_SCORE)).select("doc.*")
