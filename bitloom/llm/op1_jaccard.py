@@ -8,8 +8,8 @@ if |x & y| / |x | y| reaches the threshold (exact integers: 100 * common >= 75 *
    classes are cut into bands by size (within a band by hash), and only tiles of bands whose sizes are compatible are made. A tile
    has some TILE rows on each side and is the unit that is dealt to tasks, so that a shingle of any number of classes is spread.
 2. Signatures. Each class has a hashed parity bitmap of a width that its size gives. Bits that differ bound the
-   symmetric difference from below, so the overlap from above; pairs below the needed overlap go. Tiles carry the bitmaps folded to about one
-   bit an element, which keeps the bound; what is left is bounded again by the full ones.
+   symmetric difference from below, so the overlap from above; pairs below the needed overlap go. Tiles carry the bitmaps folded to about two
+   bits an element, which keeps the bound; what is left is bounded again by the full ones.
 3. Exact. The sorted arrays of the remaining pairs are intersected.
 
 Groups of thousands of near copies would meet in every tile they share, so components are first grown by rounds of
@@ -131,8 +131,8 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def folded(bits: bytes, n: int) -> bytes:
-    """A bitmap of n elements folded to about one bit an element (from 0.75 to 1.5), 64 bits at least."""
-    width = max(64, 1 << math.ceil(math.log2(max(1, 0.75 * n)))) // 8
+    """A bitmap of n elements folded to about two bits an element (from 1.5 to 3), 64 bits at least."""
+    width = max(64, 1 << math.ceil(math.log2(max(1, 1.5 * n)))) // 8
     if len(bits) <= width:
         return bits
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
