@@ -46,14 +46,35 @@ def unpack(words: DataFrame, header: DataFrame) -> DataFrame:
     return bits.join(header, "vec_id").where("pos < n_bits").select("vec_id", "pos", "bit")
 
 
-def get_many(words: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (vec_id, idx, ...) with `bit`; null where there is no word. Check lengths with the header for strict reads."""
+def within(rows: DataFrame, header: DataFrame, column: str, strict: bool, length: str = "n_bits") -> DataFrame:
+    """rows (vec_id, column, ...) inside their vectors: others are an error, or go if not strict."""
+    q = rows.join(header.select("vec_id", F.col(length).alias("length_")), "vec_id", "left")
+    ok = (F.col(column) >= 0) & (F.col(column) < F.coalesce("length_", F.lit(0).cast("bigint")))
+    if not strict:
+        return q.where(ok).drop("length_")
+    return q.withColumn(column, F.when(ok, F.col(column)).otherwise(beyond(F.col(column)))).drop("length_")
+
+
+def beyond(index):
+    return F.raise_error(F.concat(F.lit("no position "), index.cast("string"), F.lit(" in this vector"))).cast("bigint")
+
+
+def get_many(words: DataFrame, header: DataFrame, queries: DataFrame, *, strict: bool = True) -> DataFrame:
+    """queries (vec_id, idx, ...) with `bit`. An index outside of [0, n_bits) is an error, or has a null bit if not strict."""
+    q = queries.join(header.select("vec_id", F.col("n_bits").alias("length_")), "vec_id", "left")
+    ok = (F.col("idx") >= 0) & (F.col("idx") < F.coalesce("length_", F.lit(0).cast("bigint")))
+    found = get_unchecked(words, q)
+    return found.withColumn("bit", F.when(ok, F.col("bit")).otherwise((beyond(F.col("idx")) if strict else F.lit(None)).cast("boolean"))).drop("length_")
+
+
+def get_unchecked(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (vec_id, idx, ...) with `bit`: padding is false, and null is where there is no word."""
     q = queries.withColumn("word_idx", B.word_of(F.col("idx")))
     return q.join(words.select("vec_id", "word_idx", "word"), ["vec_id", "word_idx"], "left").withColumn("bit", B.bit_at(F.col("word"), F.col("idx"))).drop("word_idx", "word")
 
 
 def apply_sets(bits: DataFrame, updates: DataFrame) -> DataFrame:
-    """bits after updates (vec_id, pos, seq, bit): of several for a position, that of the largest seq holds."""
+    """bits after updates (vec_id, pos, seq, bit): of several for a position, that of the largest seq holds. Others than those of bits are ignored; see within()."""
     last = updates.groupBy("vec_id", "pos").agg(F.max_by("bit", "seq").alias("new"))
     return bits.join(last, ["vec_id", "pos"], "left").select("vec_id", "pos", F.coalesce("new", "bit").alias("bit"))
 
@@ -64,18 +85,19 @@ def apply_flips(bits: DataFrame, flips: DataFrame) -> DataFrame:
     return bits.join(odd, ["vec_id", "pos"], "left").select("vec_id", "pos", (F.col("bit") != F.coalesce("odd", F.lit(False))).alias("bit"))
 
 
-def set_words(words: DataFrame, updates: DataFrame) -> DataFrame:
-    """apply_sets() on the packed layout: the updates of a word are folded to two masks first."""
-    last = updates.groupBy("vec_id", "pos").agg(F.max_by("bit", "seq").alias("new"))
+def set_words(words: DataFrame, header: DataFrame, updates: DataFrame, *, strict: bool = True) -> DataFrame:
+    """apply_sets() on the packed layout: the updates of a word are folded to two masks first. Padding is never set: positions beyond the
+    vector are an error, or are left out if not strict."""
+    last = within(updates, header, "pos", strict).groupBy("vec_id", "pos").agg(F.max_by("bit", "seq").alias("new"))
     m, zero = B.bit_mask(F.col("pos")), F.lit(0).cast("bigint")
     masks = last.groupBy("vec_id", B.word_of(F.col("pos")).alias("word_idx")).agg(F.bit_or(F.when(F.col("new"), m).otherwise(zero)).alias("on"), F.bit_or(F.when(F.col("new"), zero).otherwise(m)).alias("off"))
     word = F.col("word").bitwiseOR(F.coalesce("on", zero)).bitwiseAND(F.bitwise_not(F.coalesce("off", zero)))
     return words.join(masks, ["vec_id", "word_idx"], "left").select("vec_id", "l1_idx", "word_idx", word.alias("word"))
 
 
-def flip_words(words: DataFrame, flips: DataFrame) -> DataFrame:
-    """apply_flips() on the packed layout: one exclusive or per word."""
-    masks = flips.groupBy("vec_id", B.word_of(F.col("pos")).alias("word_idx")).agg(F.bit_xor(B.bit_mask(F.col("pos"))).alias("m"))
+def flip_words(words: DataFrame, header: DataFrame, flips: DataFrame, *, strict: bool = True) -> DataFrame:
+    """apply_flips() on the packed layout: one exclusive or per word. Positions beyond the vector as in set_words()."""
+    masks = within(flips, header, "pos", strict).groupBy("vec_id", B.word_of(F.col("pos")).alias("word_idx")).agg(F.bit_xor(B.bit_mask(F.col("pos"))).alias("m"))
     return words.join(masks, ["vec_id", "word_idx"], "left").select("vec_id", "l1_idx", "word_idx", F.col("word").bitwiseXOR(F.coalesce("m", F.lit(0).cast("bigint"))).alias("word"))
 
 
@@ -110,6 +132,10 @@ class BitVec:
     n: int
     start: int = 0
 
+    def __post_init__(self) -> None:
+        if self.n < 0 or self.start < 0:
+            raise ValueError(f"a view from {self.start} of length {self.n}")
+
     @classmethod
     def new(cls, spark: SparkSession, n: int) -> BitVec:
         return cls(zeros(spark, n), n)
@@ -128,6 +154,9 @@ class BitVec:
     def iter(self) -> DataFrame:
         return self.bits().orderBy("pos")
 
+    def between(self, start: int, end: int) -> DataFrame:
+        return self.bits().where((F.col("pos") >= start) & (F.col("pos") < end)).orderBy("pos")
+
     def raw(self) -> DataFrame:
         return pack(self.bits())
 
@@ -157,12 +186,27 @@ class BitVec:
     def flip_unchecked(self, index: int) -> BitVec:
         return BitVec(self.parent.withColumn("bit", F.col("bit") != (F.col("pos") == self.start + index)), self.n, self.start)
 
-    def set_many(self, updates: DataFrame) -> BitVec:
+    def _inside(self, rows: DataFrame, strict: bool) -> DataFrame:
+        """rows (vec_id, pos, ...) of this view as rows of the parent; those outside of the view are an error, or go if not strict."""
+        ok = (F.col("pos") >= 0) & (F.col("pos") < self.n)
+        rows = rows.withColumn("pos", F.when(ok, F.col("pos")).otherwise(beyond(F.col("pos")))) if strict else rows.where(ok)
+        return rows.withColumn("pos", F.col("pos") + self.start)
+
+    def get_many(self, queries: DataFrame, *, strict: bool = True) -> DataFrame:
+        """queries (vec_id, idx, ...) with `bit`; an index outside of the view is an error, or has a null bit if not strict."""
+        found = queries.join(self.bits().withColumnRenamed("pos", "idx"), ["vec_id", "idx"], "left")
+        ok = (F.col("idx") >= 0) & (F.col("idx") < self.n)
+        return found.withColumn("bit", F.when(ok, F.col("bit")).otherwise(beyond(F.col("idx")).cast("boolean"))) if strict else found
+
+    def set_many(self, updates: DataFrame, *, strict: bool = True) -> BitVec:
         """updates (vec_id, pos, seq, bit), positions of this view."""
-        return BitVec(apply_sets(self.parent, updates.withColumn("pos", F.col("pos") + self.start)), self.n, self.start)
+        return BitVec(apply_sets(self.parent, self._inside(updates, strict)), self.n, self.start)
+
+    def flip_many(self, flips: DataFrame, *, strict: bool = True) -> BitVec:
+        return BitVec(apply_flips(self.parent, self._inside(flips, strict)), self.n, self.start)
 
-    def flip_many(self, flips: DataFrame) -> BitVec:
-        return BitVec(apply_flips(self.parent, flips.withColumn("pos", F.col("pos") + self.start)), self.n, self.start)
+    def cursor(self) -> Cursor:
+        return Cursor(self)
 
     def slice(self, start: int | None = None, end: int | None = None, *, exclusive_start: bool = False, inclusive_end: bool = False) -> BitVec:
         """A view: any form of range. start <= end <= length holds or it is an error; an empty range is fine."""
@@ -188,3 +232,21 @@ class BitVec:
     def debug(self) -> str:
         found = debug(self.bits()).collect()
         return found[0]["text"] if found else "{}"
+
+
+@dataclass(frozen=True)
+class Cursor:
+    """A place in a vector (BitVec or IntVec) and what remains behind it: len(cursor) elements."""
+
+    of: object
+    at: int = 0
+
+    def __len__(self) -> int:
+        return len(self.of) - self.at
+
+    def take(self, k: int) -> tuple[DataFrame, Cursor]:
+        """The next k elements in order (fewer at the end), with their positions in the vector, and the cursor behind them."""
+        if k < 0:
+            raise ValueError("a cursor only goes on")
+        end = min(len(self.of), self.at + k)
+        return self.of.between(self.at, end), Cursor(self.of, end)

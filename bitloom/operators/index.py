@@ -7,10 +7,14 @@ place of each 8192nd one in units of 8192 bits. totals: (vec_id, n_bits, ones).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
+from bitloom.operators.bitvec import header as header_of
+from bitloom.operators.bitvec import pack
 from bitloom.plans.prefix import prefix_sums
 
 
@@ -57,3 +61,33 @@ def rough_rank(l1, l2, j) -> Column:
     """Ones before L2 block j of an index row."""
     l1, l2 = (F.col(x) if isinstance(x, str) else x for x in (l1, l2))
     return l1 + F.when(j == 0, 0).otherwise(F.get(l2, j - 1)).cast("bigint")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Words of vectors with their tables, for rank and select. Written once (to()), it is read by parts: an entry and at most eight words a query."""
+
+    words: DataFrame
+    header: DataFrame
+    l1l2: DataFrame
+    samples: DataFrame
+    totals: DataFrame
+
+    @classmethod
+    def build(cls, bits: DataFrame) -> Index:
+        """bits: a row for each position."""
+        return cls.of(pack(bits), header_of(bits))
+
+    @classmethod
+    def of(cls, words: DataFrame, header: DataFrame) -> Index:
+        return cls(words, header, l1l2(words, header), samples(words), totals(words, header))
+
+    def to(self, path: str) -> Index:
+        """The index written as five tables below path, and read back."""
+        spark, tables = self.words.sparkSession, {}
+        for name in ("words", "header", "l1l2", "samples", "totals"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            tables[name] = spark.read.parquet(f"{path}/{name}")
+            if name == "header":  # what follows is made from the written words
+                self = Index.of(tables["words"], tables["header"])
+        return Index(**tables)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
+from bitloom.operators.bitvec import Cursor, beyond
 
 #: Words of a chunk in which a word meets the next one.
 CHUNK = 1024
@@ -49,8 +52,16 @@ def _element(word: Column, next_word: Column, off: Column, width: int) -> Column
     return low.bitwiseOR(high).bitwiseAND(B.low_mask(F.lit(width)))
 
 
-def get_many(iwords: DataFrame, queries: DataFrame, width: int) -> DataFrame:
-    """queries (vec_id, idx) with `value`: joins with the word and, where the element reaches into it, the next one."""
+def get_many(iwords: DataFrame, header: DataFrame, queries: DataFrame, width: int, *, strict: bool = True) -> DataFrame:
+    """queries (vec_id, idx, ...) with `value`; header: (vec_id, n). An index outside of [0, n) is an error, or has a null value if not strict."""
+    q = queries.join(header.select("vec_id", F.col("n").alias("length_")), "vec_id", "left")
+    ok = (F.col("idx") >= 0) & (F.col("idx") < F.coalesce("length_", F.lit(0).cast("bigint")))
+    other = beyond(F.col("idx")) if strict else F.lit(None).cast("bigint")
+    return get_unchecked(iwords, q, width).withColumn("value", F.when(ok, F.col("value")).otherwise(other)).drop("length_")
+
+
+def get_unchecked(iwords: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+    """queries (vec_id, idx, ...) with `value`: joins with the word and, where the element reaches into it, the next one."""
     at = F.col("idx") * check_width(width)
     q = queries.withColumn("w0", F.shiftright(at, 6)).withColumn("off", at.bitwiseAND(63))
     q = q.withColumn("w1", F.when(F.col("off") + width > 64, F.col("w0") + 1))
@@ -91,3 +102,82 @@ def set_many(ints: DataFrame, updates: DataFrame, width: int, *, truncate: bool
     both = ints.withColumn("here", F.lit(True)).join(last, ["vec_id", "idx"], "full_outer")
     idx = F.when(F.col("here"), F.col("idx")).otherwise(F.raise_error(F.concat(F.lit("index is "), F.col("idx").cast("string"), F.lit(", beyond the vector"))))
     return both.select("vec_id", idx.alias("idx"), F.when(F.col("new").isNull(), F.col("value")).otherwise(new).alias("value"))
+
+
+@dataclass(frozen=True)
+class IntVec:
+    """One vector of n values of `width` bits, as rows (vec_id, idx, value). Updates return a new vector."""
+
+    rows: DataFrame
+    n: int
+    width: int
+    capacity: int = 0
+
+    def __post_init__(self) -> None:
+        check_width(self.width)
+
+    @classmethod
+    def new(cls, spark: SparkSession, width: int) -> IntVec:
+        return cls.with_capacity(spark, width, 0)
+
+    @classmethod
+    def with_capacity(cls, spark: SparkSession, width: int, capacity: int) -> IntVec:
+        """Empty; room for `capacity` values is words() words, which rows do not need."""
+        return cls(spark.createDataFrame([], "vec_id string, idx bigint, value bigint"), 0, width, capacity)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def is_empty(self) -> bool:
+        return self.n == 0
+
+    def words(self) -> int:
+        return max(self.n, self.capacity) * self.width // 64 + 1
+
+    def mask(self) -> int:
+        return (1 << self.width) - 1
+
+    def offset(self, index: int) -> tuple[int, int]:
+        """Word and first bit of an element."""
+        return index * self.width // 64, index * self.width % 64
+
+    def _checked(self, index: int) -> int:
+        if not 0 <= index < self.n:
+            raise IndexError(f"no element {index} among {self.n}")
+        return index
+
+    def get(self, index: int) -> DataFrame:
+        return self.get_unchecked(self._checked(index))
+
+    def get_unchecked(self, index: int) -> DataFrame:
+        """(idx, value); no row beyond the vector."""
+        return self.rows.where(F.col("idx") == index).select("idx", "value")
+
+    def set(self, index: int, value: int) -> IntVec:
+        if not 0 <= value <= self.mask():
+            raise ValueError(f"{value} has more than {self.width} bits")
+        return self.set_unchecked(self._checked(index), value)
+
+    def set_unchecked(self, index: int, value: int) -> IntVec:
+        """The value's low bits are stored."""
+        new = F.when(F.col("idx") == index, F.lit(value & self.mask()).cast("bigint")).otherwise(F.col("value"))
+        return IntVec(self.rows.withColumn("value", new), self.n, self.width, self.capacity)
+
+    def push(self, *values: int) -> IntVec:
+        for v in values:
+            if not 0 <= v <= self.mask():
+                raise ValueError(f"{v} has more than {self.width} bits")
+        more = self.rows.sparkSession.createDataFrame([("", self.n + k, v) for k, v in enumerate(values)], "vec_id string, idx bigint, value bigint")
+        return IntVec(self.rows.unionByName(more), self.n + len(values), self.width, self.capacity)
+
+    def between(self, start: int, end: int) -> DataFrame:
+        return self.rows.where((F.col("idx") >= start) & (F.col("idx") < end)).select("idx", "value").orderBy("idx")
+
+    def iter(self) -> DataFrame:
+        return self.between(0, self.n)
+
+    def cursor(self) -> Cursor:
+        return Cursor(self)
+
+    def raw(self) -> DataFrame:
+        return raw(self.rows, self.width)

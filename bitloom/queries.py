@@ -77,11 +77,12 @@ def _view(df: DataFrame) -> BitVec:
 # Construction, reading
 
 
-@query("SELECT 1000 AS n, count(*)::BIGINT AS rows, sum(0)::BIGINT AS ones, (1000 + 63) // 64 AS words FROM range(1000)")
+@query(f"WITH {EV}, z AS (SELECT pos, false AS bit FROM e) SELECT count(*)::BIGINT AS n, (count(*) FILTER (bit))::BIGINT AS ones, count(DISTINCT pos // 64)::BIGINT AS words FROM z")
 def bit_new(spark, d):
-    v = BitVec.new(spark, 1000)
+    """As many zeros as the events vector has positions."""
+    v = BitVec.new(spark, len(_view(ev(spark, d))))
     words = v.raw().groupBy("vec_id").agg(F.count("*").alias("words"), F.sum(F.bit_count("word")).cast("bigint").alias("ones"))
-    return v.bits().groupBy("vec_id").agg(F.count("*").alias("rows")).join(words, "vec_id").select(F.lit(1000).alias("n"), "rows", "ones", "words")
+    return v.bits().groupBy("vec_id").agg(F.count("*").alias("n")).join(words, "vec_id").select("n", "ones", "words")
 
 
 @query(f"WITH {EV}, {WORDS} SELECT word_idx, {SIGNED} AS word FROM w")
@@ -99,7 +100,7 @@ def bit_get_many(spark, d):
     q = load(spark, d, "events").select(F.lit("").alias("vec_id"), F.col("user_id").alias("idx")).distinct()
     words = bitvec.pack(ev(spark, d))
     n = bitvec.header(ev(spark, d))
-    return bitvec.get_many(words, q).join(n, "vec_id").select("idx", F.when(F.col("idx") < F.col("n_bits"), F.col("bit")).alias("bit"))
+    return bitvec.get_many(words, n, q, strict=False).select("idx", "bit")
 
 
 @query("SELECT event_type AS vec_id, count(*)::BIGINT AS n_bits, count(*) = 0 AS is_empty FROM events GROUP BY 1")
@@ -135,14 +136,21 @@ def bit_flip(spark, d):
 @query(f"WITH {EV}, u AS (SELECT user_id AS pos, max_by(event_type = 'click', event_id) AS new FROM events GROUP BY 1), e2 AS (SELECT e.pos, coalesce(new, bit) AS bit FROM e LEFT JOIN u USING (pos)), {WORDS.replace('FROM e', 'FROM e2')} SELECT word_idx, {SIGNED} AS word FROM w")
 def bit_set_words(spark, d):
     u = load(spark, d, "events").select(F.lit("").alias("vec_id"), F.col("user_id").alias("pos"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("bit"))
-    return bitvec.set_words(bitvec.pack(ev(spark, d)), u).select("word_idx", "word")
+    return bitvec.set_words(bitvec.pack(ev(spark, d)), bitvec.header(ev(spark, d)), u, strict=False).select("word_idx", "word")
 
 
+@query(f"WITH {EV}, t AS (SELECT max(pos) + 1 AS n FROM e), u AS (SELECT event_id * 3 AS pos, true AS new FROM events), e2 AS (SELECT e.pos, coalesce(new, bit) AS bit FROM e LEFT JOIN u USING (pos)) SELECT n AS n_bits, (SELECT count(*) FILTER (bit) FROM e2)::BIGINT AS ones FROM t")
+def bit_set_beyond(spark, d):
+    """Two thirds of the batch lie beyond the vector; padding stays empty."""
+    u = load(spark, d, "events").select(F.lit("").alias("vec_id"), (F.col("event_id") * 3).alias("pos"), F.lit(0).alias("seq"), F.lit(True).alias("bit"))
+    words, header = bitvec.pack(ev(spark, d)), bitvec.header(ev(spark, d))
+    return index.totals(bitvec.set_words(words, header, u, strict=False), header).select("n_bits", "ones")
+
 
 @query(f"WITH {EV}, u AS (SELECT user_id AS pos, count(*) % 2 = 1 AS odd FROM events GROUP BY 1), e2 AS (SELECT e.pos, bit <> coalesce(odd, false) AS bit FROM e LEFT JOIN u USING (pos)), {WORDS.replace('FROM e', 'FROM e2')} SELECT word_idx, {SIGNED} AS word FROM w")
 def bit_flip_words(spark, d):
     flips = load(spark, d, "events").select(F.lit("").alias("vec_id"), F.col("user_id").alias("pos"))
-    return bitvec.flip_words(bitvec.pack(ev(spark, d)), flips).select("word_idx", "word")
+    return bitvec.flip_words(bitvec.pack(ev(spark, d)), bitvec.header(ev(spark, d)), flips, strict=False).select("word_idx", "word")
 
 
 # Slices
@@ -197,13 +205,48 @@ def bit_not_equal(spark, d):
     return v.slice(100, 132).equals(v.slice(164, 196))
 
 
-@query("SELECT true AS equal")
+@query(f"WITH {EV}, {WORDS}, back AS (SELECT e.pos, ((u >> (e.pos % 64)::UBIGINT) & 1) = 1 AS bit FROM e JOIN w ON w.word_idx = e.pos // 64) SELECT count(*) = (SELECT count(*) FROM e) AS equal FROM e JOIN back USING (pos, bit)")
 def bit_equal(spark, d):
     bits = ev(spark, d)
     again = bitvec.unpack(bitvec.pack(bits), bitvec.header(bits))
     return BitVec(bits, _view(bits).n).equals(BitVec(again, _view(bits).n))
 
 
+@query(f"WITH {EV}, q AS (SELECT DISTINCT user_id AS idx FROM events) SELECT idx, CASE WHEN idx < 380 THEN bit END AS bit FROM q LEFT JOIN e ON pos = idx + 20")
+def bit_slice_get(spark, d):
+    q = load(spark, d, "events").select(F.lit("").alias("vec_id"), F.col("user_id").alias("idx")).distinct()
+    return _view(ev(spark, d)).slice(20, 400).get_many(q, strict=False).select("idx", "bit")
+
+
+@query(f"WITH {EV} SELECT pos - 64 AS pos, bit FROM e WHERE pos >= 64")
+def bit_slice_unchecked(spark, d):
+    """A view that says it reaches beyond its parent has the parent's rows."""
+    v = _view(ev(spark, d))
+    return v.slice_unchecked(64, v.n + 1000).bits().select("pos", "bit")
+
+
+@query(f"WITH {EV} SELECT pos, CASE WHEN pos < 100 AND pos % 5 = 0 OR pos BETWEEN 333 AND 432 AND (pos - 333) % 5 = 0 THEN NOT bit ELSE bit END AS bit FROM e")
+def bit_split_set(spark, d):
+    """Both halves are updated, one after the other; positions beyond the left half do not reach into the right one."""
+    v = _view(ev(spark, d))
+    flips = spark.range(0, 100, 5).select(F.lit("").alias("vec_id"), F.col("id").alias("pos"))
+    left, _ = v.split_at(333)
+    _, right = BitVec(left.flip_many(flips.unionAll(spark.range(333, 400).selectExpr("'' as vec_id", "id as pos")), strict=False).parent, v.n).split_at(333)
+    return BitVec(right.flip_many(flips).parent, v.n).bits().select("pos", "bit")
+
+
+@query(f"WITH {EV} SELECT pos, CASE WHEN pos = 5 THEN true WHEN pos = 6 THEN NOT bit WHEN pos = 7 THEN false ELSE bit END AS bit FROM e")
+def bit_update(spark, d):
+    return _view(ev(spark, d)).set(5, True).flip(6).set(7, False).bits().select("pos", "bit")
+
+
+@query(f"WITH {EV} SELECT pos, bit, (SELECT count(*) FROM e) - 130 AS left_ FROM e WHERE pos BETWEEN 100 AND 129")
+def bit_cursor(spark, d):
+    _, cursor = _view(ev(spark, d)).cursor().take(100)
+    rows, cursor = cursor.take(30)
+    return rows.select("pos", "bit", F.lit(len(cursor)).cast("bigint").alias("left_"))
+
+
 # Primitives: p_partkey as an unsigned number of 32 bits, p_size mod 32 as the index
 
 
@@ -230,6 +273,14 @@ def bit_array_access(spark, d):
     return load(spark, d, "part").select("p_partkey", B.array_get(words, at).alias("bit"), B.array_set(words, (F.col("p_size") % 32).cast("bigint"), F.lit(True))[0].alias("first_"))
 
 
+@query("SELECT p_partkey, xor(p_partkey, 1::BIGINT << (p_size % 32)) AS first_, xor(8589934592, 1::BIGINT << (p_size % 60)) AS second_ FROM part")
+def bit_array_flip(spark, d):
+    words = F.array(F.col("p_partkey"), B.shl(F.lit(1).cast("bigint"), 33))
+    at = lambda m, base: (F.col("p_size") % m + base).cast("bigint")
+    both = B.array_flip(B.array_flip(words, at(32, 0)), at(60, 64))
+    return load(spark, d, "part").select("p_partkey", both.alias("w")).select("p_partkey", F.col("w")[0].alias("first_"), F.col("w")[1].alias("second_"))
+
+
 # Index tables
 
 _L1L2 = """g AS (SELECT pos // 512 AS g, count(*) FILTER (bit) AS c FROM e GROUP BY 1), t AS (SELECT count(*) AS n, count(*) FILTER (bit) AS ones FROM e),
@@ -247,9 +298,27 @@ def idx_l1l2(spark, d):
     return _l1l2(ev(spark, d))
 
 
-@query(f"WITH e AS (SELECT * FROM ({LI[6:-1]}) WHERE pos < 8192), {_L1L2}")
+#: As _L1L2, with running sums instead of a sum for each entry.
+_RUN = """g AS (SELECT pos // 512 AS g, count(*) FILTER (bit) AS c FROM e GROUP BY 1), t AS (SELECT count(*) AS n, count(*) FILTER (bit) AS ones FROM e),
+b AS (SELECT unnest(range(0, 8 * ((n + 511) // 512 // 8 + 1))) AS g, (n + 511) // 512 AS blocks FROM t WHERE n > 0),
+s AS (SELECT b.g, blocks, sum(coalesce(c, 0)) OVER (ORDER BY b.g) AS upto FROM b LEFT JOIN g ON g.g = b.g),
+x AS (SELECT g // 8 AS l1_idx, g % 8 AS j, g, blocks, upto, lag(upto, 1, 0) OVER (ORDER BY g) AS before FROM s),
+y AS (SELECT *, first_value(before) OVER (PARTITION BY l1_idx ORDER BY j) AS l1 FROM x)
+SELECT l1_idx, max(l1)::BIGINT AS l1, array_to_string(list(CASE WHEN g < blocks THEN upto - l1 ELSE 4095 END::INT ORDER BY j) FILTER (j < 7), ',') AS l2 FROM y GROUP BY l1_idx"""
+
+
+@query(f"WITH {LI}, {_RUN}")
+def idx_l1l2_lineitem(spark, d):
+    return _l1l2(li(spark, d))
+
+
+@query(f"WITH a AS ({LI[6:-1]}), e AS (SELECT * FROM a UNION ALL SELECT (SELECT count(*) FROM a) + x, true FROM range((4096 - (SELECT count(*) FROM a) % 4096) % 4096) AS r(x)), {_RUN}")
 def idx_l1l2_sentinel(spark, d):
-    return _l1l2(li(spark, d).where("pos < 8192"))
+    """The vector is filled up with ones to whole L1 blocks, so that the index has one more entry."""
+    bits = li(spark, d)
+    n = _view(bits).n
+    more = spark.range(n, n + -n % 4096).select(F.lit("").alias("vec_id"), F.col("id").alias("pos"), F.lit(True).alias("bit"))
+    return _l1l2(bits.unionByName(more))
 
 
 @query(f"WITH {LI}, o AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS rn FROM e WHERE bit) SELECT rn // 8192 AS sample_no, pos // 8192 AS value FROM o WHERE rn % 8192 = 0")
@@ -320,6 +389,13 @@ def rank_grouped(spark, d):
     return rankselect.rank(bitvec.pack(bits), bitvec.header(bits), _all(bits)).select("vec_id", "idx", "rank1")
 
 
+@query(f"WITH {LI}, r AS ({_RANKS.format('rank1')}), q AS (SELECT DISTINCT l_partkey * 7 AS idx FROM lineitem) SELECT q.idx, CASE WHEN q.idx = (SELECT count(*) FROM e) THEN (SELECT count(*) FROM e WHERE bit) ELSE rank1 END::BIGINT AS rank1 FROM q LEFT JOIN r ON r.idx = q.idx")
+def rank1_index(spark, d):
+    """A few thousand ranks from the index; null beyond the vector."""
+    q = load(spark, d, "lineitem").select(F.lit("").alias("vec_id"), (F.col("l_partkey") * 7).alias("idx")).distinct()
+    return rankselect.rank_indexed(index.Index.build(li(spark, d)), q, strict=False).select("idx", "rank1")
+
+
 # Select
 
 _ONES = "o AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS r, pos FROM e WHERE bit)"
@@ -336,6 +412,13 @@ def select1_all(spark, d):
     return rankselect.select(bitvec.pack(bits), _numbers(bits)).select("r", "pos")
 
 
+@query(f"WITH {LI}, {_ONES}, q AS (SELECT DISTINCT l_partkey * 5 AS r FROM lineitem) SELECT q.r, o.pos FROM q LEFT JOIN o ON o.r = q.r")
+def select1_index(spark, d):
+    """A few thousand selects from the index; null beyond the last one."""
+    q = load(spark, d, "lineitem").select(F.lit("").alias("vec_id"), (F.col("l_partkey") * 5).alias("r")).distinct()
+    return rankselect.select_indexed(index.Index.build(li(spark, d)), q).select("r", "pos")
+
+
 @query(f"WITH {OR}, {_ONES} SELECT e.pos AS r, o.pos FROM e LEFT JOIN o ON o.r = e.pos")
 def select1_window(spark, d):
     bits = orders_f(spark, d)
@@ -361,7 +444,7 @@ def select_rank_roundtrip(spark, d):
     bits = li(spark, d)
     words, header = bitvec.pack(bits), bitvec.header(bits)
     at = rankselect.select(words, _numbers(bits)).where("pos is not null").withColumnRenamed("pos", "idx")
-    return bitvec.get_many(words, rankselect.rank(words, header, at)).select("r", F.col("rank1").alias("back"), "bit")
+    return bitvec.get_many(words, header, rankselect.rank(words, header, at), strict=False).select("r", F.col("rank1").alias("back"), "bit")
 
 
 _FIND = "WITH c AS (SELECT p_partkey AS r, [10, 25, 80, 80, 167, 1002, 1762] AS l2 FROM part), j AS (SELECT r, l2, len(list_filter(l2, lambda x: x <= r)) AS j FROM c) SELECT r, j::BIGINT AS block, (CASE WHEN j = 0 THEN 0 ELSE l2[j] END)::BIGINT AS before FROM j"
@@ -404,7 +487,35 @@ def int_straddle(spark, d):
 @query("SELECT c_custkey AS idx, c_nationkey::BIGINT AS value FROM customer")
 def int_get(spark, d):
     v = cn(spark, d)
-    return intvec.get_many(intvec.pack(v, 5), v.select("vec_id", "idx"), 5).select("idx", "value")
+    return intvec.get_many(intvec.pack(v, 5), _n(v), v.select("vec_id", "idx"), 5).select("idx", "value")
+
+
+def _n(ints: DataFrame) -> DataFrame:
+    return ints.groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS idx, c_nationkey::BIGINT AS value FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
+def int_get_beyond(spark, d):
+    """Most of these indexes lie beyond the vector: null."""
+    v = cn(spark, d)
+    q = load(spark, d, "orders").select(F.lit("").alias("vec_id"), F.col("o_orderkey").alias("idx"))
+    return intvec.get_many(intvec.pack(v, 5), _n(v), q, 5, strict=False).select("idx", "value")
+
+
+@query("SELECT n, n // 1 = 0 AS is_empty, n * 6 // 64 + 1 AS words, 63::BIGINT AS mask, (SELECT p_size FROM part WHERE p_partkey = 7)::BIGINT AS got, 5::BIGINT AS pushed FROM (SELECT count(*)::BIGINT + 2 AS n FROM part)")
+def int_vec_value(spark, d):
+    v = ps(spark, d)
+    v = intvec.IntVec(v, v.count(), 6).push(4, 5).set(3, 9)
+    one = lambda df, name: df.select(F.col("value").alias(name))
+    return one(v.get(7), "got").crossJoin(one(v.get(len(v) - 1), "pushed")).select(F.lit(len(v)).cast("bigint").alias("n"), F.lit(v.is_empty()).alias("is_empty"), F.lit(v.words()).cast("bigint").alias("words"), F.lit(v.mask()).cast("bigint").alias("mask"), "got", "pushed")
+
+
+@query("SELECT p_partkey AS idx, p_size::BIGINT AS value, (SELECT count(*) FROM part) - 150 AS left_ FROM part WHERE p_partkey BETWEEN 100 AND 149")
+def int_cursor(spark, d):
+    v = ps(spark, d)
+    _, cursor = intvec.IntVec(v, v.count(), 6).cursor().take(100)
+    rows, cursor = cursor.take(50)
+    return rows.withColumn("left_", F.lit(len(cursor)).cast("bigint"))
 
 
 @query("SELECT p_partkey AS idx, p_size::BIGINT AS value FROM part")

@@ -97,11 +97,11 @@ def test_pack_unpack_updates(spark):
     updates = spark.createDataFrame([("v", p, s, b) for s, (p, b) in enumerate([(63, False), (5, True), (5, False), (64, True)])], "vec_id string, pos bigint, seq int, bit boolean")
     changed = list(bits)
     changed[63], changed[5], changed[64] = False, False, True
-    assert listed(bitvec.set_words(w, updates), "word_idx", "word") == words(changed)
+    assert listed(bitvec.set_words(w, bitvec.header(df), updates), "word_idx", "word") == words(changed)
     assert listed(bitvec.apply_sets(df, updates)) == changed
     flips = spark.createDataFrame([("v", 63), ("v", 63), ("v", 9)], "vec_id string, pos bigint")
     changed = [b if i != 9 else not b for i, b in enumerate(bits)]
-    assert listed(bitvec.flip_words(w, flips), "word_idx", "word") == words(changed)
+    assert listed(bitvec.flip_words(w, bitvec.header(df), flips), "word_idx", "word") == words(changed)
     assert bitvec.equal_words(w, bitvec.pack(bitvec.apply_flips(bitvec.apply_flips(df, flips), flips))).first()["equal"]
 
 
@@ -214,3 +214,53 @@ def test_prefix_sums_and_numbering(spark):
     assert listed(prefix_sums(df, "k", "n", "s").where("vec_id = 'a'"), "k", "s") == want
     got = number_rows(df.where("vec_id = 'a'"), ["k"]).orderBy("k").collect()
     assert [r.pos for r in got] == list(range(500))
+
+
+def test_batches_stay_inside(spark):
+    n = 10
+    df = make(spark, [i % 2 == 0 for i in range(n)], "")
+    w, h = bitvec.pack(df), bitvec.header(df)
+    u = spark.createDataFrame([("", 40, 0, True), ("", -1, 0, True), ("", 3, 0, True)], "vec_id string, pos bigint, seq int, bit boolean")
+    f = u.select("vec_id", "pos")
+    for call in (lambda: bitvec.set_words(w, h, u), lambda: bitvec.flip_words(w, h, f), lambda: bitvec.get_many(w, h, f.withColumnRenamed("pos", "idx")), lambda: BitVec(df, n).set_many(u).bits(), lambda: BitVec(df, n).slice(2, 5).flip_many(f).bits(), lambda: BitVec(df, n).slice(2, 5).get_many(f.withColumnRenamed("pos", "idx"))):
+        with pytest.raises(Exception, match="no position"):
+            call().collect()
+    for new in (bitvec.set_words(w, h, u, strict=False), bitvec.flip_words(w, h, f, strict=False)):
+        assert index.totals(new, h).first().ones == 6 and [r.word >> n for r in new.collect()] == [0]
+    assert listed(BitVec(df, n).slice(2, 5).set_many(u.withColumn("pos", F.col("pos") + 6), strict=False).bits()) == [True, False, True]
+    changed = BitVec(df, n).slice(2, 5).set_many(spark.createDataFrame([("", 6, 0, False)], u.schema), strict=False)
+    assert listed(BitVec(changed.parent, n).bits()) == [i % 2 == 0 for i in range(n)]
+    got = bitvec.get_many(w, h, f.withColumnRenamed("pos", "idx"), strict=False).collect()
+    assert {r.idx: r.bit for r in got} == {40: None, -1: None, 3: False}
+    for a, b in ((5, 2), (-3, 2)):
+        with pytest.raises(ValueError):
+            BitVec(df, n).slice_unchecked(a, b)
+
+
+def test_cursor(spark):
+    v = BitVec(make(spark, [i % 3 == 0 for i in range(50)], ""), 50).slice(10, 40)
+    c, got = v.cursor(), []
+    for k in (7, 0, 20, 100):
+        rows, c = c.take(k)
+        got += [r.bit for r in rows.collect()]
+        assert len(c) == 30 - len(got)
+    assert got == [i % 3 == 0 for i in range(10, 40)]
+
+
+@pytest.mark.parametrize("n,step", [(1, 1), (4095, 3), (4096, 1), (8192, 2), (50_000, 1), (50_000, 700), (60_001, 7)])
+def test_indexed_rank_and_select(spark, tmp_path, n, step):
+    df = make(spark, [i % step == 0 or 9000 < i < 20_000 for i in range(n)], "")
+    built = index.Index.build(df)
+    built = built.to(f"file://{tmp_path}/i") if step == 7 else built
+    ones = [i for i in range(n) if i % step == 0 or 9000 < i < 20_000]
+    idx = sorted({0, 1, n, n - 1, *range(0, n, 509), *(x for x in (512, 4096, 8192) if x <= n)})
+    q = spark.createDataFrame([("", i) for i in [*idx, n + 1, -1, 0]], "vec_id string, idx bigint")
+    got = {r.idx: r.rank1 for r in rankselect.rank_indexed(built, q, strict=False).collect()}
+    assert got == {i: sum(x < i for x in ones) for i in idx} | {n + 1: None, -1: None}
+    r = sorted({0, len(ones) - 1, *range(0, len(ones), 401), *(x for x in (8191, 8192, 8193) if x < len(ones))})
+    q = spark.createDataFrame([("", i) for i in [*r, len(ones), -1]], "vec_id string, r bigint")
+    assert {x.r: x.pos for x in rankselect.select_indexed(built, q).collect()} == {i: ones[i] for i in r} | {len(ones): None, -1: None}
+    with pytest.raises(Exception, match="beyond"):
+        rankselect.rank_indexed(built, q.selectExpr("vec_id", "r + 100000 as idx")).collect()
+    if step == 7:
+        assert "Window" not in rankselect.rank_indexed(built, q.selectExpr("vec_id", "r as idx"), strict=False)._jdf.queryExecution().optimizedPlan().toString()

@@ -29,7 +29,7 @@ def test_roundtrip(spark, width):
     df = make(spark, values)
     words = intvec.raw(df, width)
     assert words.count() == len(values) * width // 64 + 1
-    assert listed(intvec.get_many(words, df.select("vec_id", "idx"), width)) == values
+    assert listed(intvec.get_many(words, df.groupBy("vec_id").agg(F.count("*").alias("n")), df.select("vec_id", "idx"), width)) == values
     header = df.groupBy("vec_id").agg(F.count("*").alias("n"))
     assert listed(intvec.unpack(words, header, width)) == values
 
@@ -61,3 +61,26 @@ def test_errors(spark):
     for w in (0, 64):
         with pytest.raises(ValueError):
             intvec.pack(df, w)
+
+
+def test_get_beyond(spark):
+    df = make(spark, [1, 2, 3, 4])
+    h = df.groupBy("vec_id").agg(F.count("*").alias("n"))
+    q = spark.createDataFrame([("v", i) for i in (0, 3, 5, 100, -1)], "vec_id string, idx bigint")
+    assert {r.idx: r.value for r in intvec.get_many(intvec.pack(df, 4), h, q, 4, strict=False).collect()} == {0: 1, 3: 4, 5: None, 100: None, -1: None}
+    with pytest.raises(Exception, match="no position"):
+        intvec.get_many(intvec.pack(df, 4), h, q, 4).collect()
+
+
+def test_int_vec_value(spark):
+    v = intvec.IntVec.with_capacity(spark, 7, 100)
+    assert v.is_empty() and v.words() == 11 and v.mask() == 127 and v.offset(10) == (1, 6)
+    v = v.push(*range(60)).set(5, 127).set_unchecked(6, 128 + 9).set_unchecked(99, 1)
+    assert len(v) == 60 and [r.value for r in v.iter().collect()] == [*range(5), 127, 9, *range(7, 60)]
+    assert v.get(5).first().value == 127 and v.get_unchecked(60).collect() == []
+    assert listed(intvec.unpack(v.raw(), spark.createDataFrame([("", 60)], "vec_id string, n bigint"), 7)) == [*range(5), 127, 9, *range(7, 60)]
+    rows, c = v.cursor().take(58)
+    assert rows.count() == 58 and len(c) == 2
+    for call in (lambda: v.get(60), lambda: v.set(-1, 1), lambda: v.set(0, 128), lambda: v.push(128), lambda: intvec.IntVec.new(spark, 64)):
+        with pytest.raises((IndexError, ValueError)):
+            call()
