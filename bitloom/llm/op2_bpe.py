@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import arrow_schema, ddl, load, pieces
 
 #: Words that a worker remembers at most, and characters of the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: White space (Unicode's White_Space), and the split of a normalised text.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -191,17 +191,17 @@ def read_spec(path: str) -> dict:
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep=("doc_id",), ids: bool = False, decoded: bool = False) -> DataFrame:
     """df's `keep` columns with n_tokens, ids_sha256 and decoded_sha256; with the ids (little-endian
     unsigned 32-bit integers) and the decoded text on request. tokenizer: a file's path on the driver."""
-    shared = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    shared = df.sparkSession.sparkContext.broadcast(Bpe(read_spec(tokenizer)))
     rows = df.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
     wanted = [n for n in _SCHEMA.names if (n != "ids" or ids) and (n != "decoded" or decoded)]
     out = pa.schema([_SCHEMA.field(n) for n in wanted])
 
     def apply(batches):
         if _WORKER.get("of") != tokenizer:
-            _WORKER.update(of=tokenizer, encoder=Encoder(Bpe(shared.value)))
+            _WORKER.update(of=tokenizer, encoder=Encoder(shared.value))
         encoder = _WORKER["encoder"]
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 2_000_000):
                 coded = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
                 back = [encoder.decode(x) for x in coded]
                 columns = {"ids": coded, "decoded": back, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coded], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back]}

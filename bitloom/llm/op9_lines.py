@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import drop, id_filter, load, written
 from bitloom.llm.graph import connected_components, grown
 
-HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 4, 90, 1
+HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 3, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
@@ -164,17 +164,17 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
     keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
     met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", F.col("h1").alias("id"), "h2", *marks)
-    # h1 stands for a class. Where two classes share it, they are left to exact repeats.
-    shared = classes.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least < most").select(F.col("h1").alias("id"))
-    shared = written(shared)
-    if not shared.isEmpty():
-        members = members.join(shared, "id", "left_anti")
     members = written(members)
-    compared = written(members.groupBy("id").agg(F.first("h2").alias("h2")).select("id", F.col("id").alias("h1"), "h2"))
+    # h1 stands for a class. Where two classes that meet others share it, they are left to exact repeats.
+    compared = written(members.groupBy("id").agg(F.min("h2").alias("h2"), F.max("h2").alias("most")).select("id", F.col("id").alias("h1"), "h2", (F.col("h2") < F.col("most")).alias("shared")))
+    shared = compared.where("shared").select("id")
+    if not shared.isEmpty():
+        members = written(members.join(shared, "id", "left_anti"))
+    compared = compared.where("not shared").drop("shared")
     # The map side of this sum takes a common line's occurrences together.
     texts = lines.where(id_filter(compared, "h1")(F.col("h1"))).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     texts = written(texts.join(compared, ["h1", "h2"], "left_semi").select(F.col("h1").alias("id"), "words"), 1)
-    drop(met, shared)
+    drop(met)
 
     def fits(other):
         s, n, *lanes = (F.col(other(c)) for c in marks)
@@ -205,13 +205,16 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
     first = written(lines.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     # Only words of lines that may be repeated are shuffled to make them distinct.
     repeated = id_filter(first.where("n > 1"), "h1")(F.col("h1"))
-    distinct = lines.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    distinct = lines.where(~repeated).select("h1", "h2", "words").unionByName(distinct)
+    def distinct(rows: DataFrame) -> DataFrame:
+        again = rows.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words"))
+        return rows.where(~repeated).select("h1", "h2", "words").unionByName(again)
+
     if minima:
-        classes = written(sketches(distinct, minima))
-    else:
-        some_long = not lines.where(F.col("size") >= 2 * PACKED_WORDS - 1).isEmpty()
-        classes = written(simhashes(distinct, some_long))
+        classes = sketches(distinct(lines), minima)
+    else:  # the few lines that may have more words than the packed sums can take are told by their length
+        long_ = F.col("size") >= 2 * PACKED_WORDS - 1
+        classes = simhashes(distinct(lines.where(~long_)), False).unionByName(simhashes(distinct(lines.where(long_))))
+    classes = written(classes)
     found, compared = links(lines, classes, hamming, percent)
     drop(classes)
     groups = written(connected_components(found).join(compared, "id").select("h1", "h2", "label"))
@@ -223,7 +226,7 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
     stays = written(stays)
     again = lines.where(id_filter(stays, "h1")(F.col("h1"))).select("h1", "h2", "doc", "line", place.alias("place"))
     gone = written(again.join(stays, ["h1", "h2"]).where("place <> head").select("doc", "line"))
-    drop(lines, first, compared, groups, grouped, stays)
+    drop(lines, first, groups, grouped, stays)
     return gone
 
 
@@ -232,13 +235,14 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", **options) -
     gone = duplicates(docs, text, id_, **options)
     which = written(gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     drop(gone)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_).cast("bigint").alias("doc"), F.split(F.col(text), "\n").alias("lines"))
-    rows = rows.withColumn("n_lines", F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("bigint"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_).cast("bigint").alias("doc"))
     some = F.coalesce(id_filter(which, "doc")(F.coalesce("doc", F.lit(0))) & F.col("doc").isNotNull(), F.lit(False))
-    whole = rows.where(~some).select("row", "n_lines", F.lit(0).cast("bigint").alias("n_removed"))
+    lines = F.split(F.col("row")[text], "\n")
+    n_lines = F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines")
+    whole = rows.where(~some).select("row", n_lines, F.lit(0).cast("bigint").alias("n_removed"))
     cut = rows.where(some).join(which.hint("merge"), "doc", "left")
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
-    cut = cut.select(F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text, kept)).alias("row"), "n_lines", F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    cut = cut.select(F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text, kept)).alias("row"), n_lines, F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"))
     return whole.unionByName(cut)
 
 
