@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import drop, id_filter, load, written
 from bitloom.llm.graph import connected_components, grown
 
-HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 3, 90, 1
+HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 2, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
