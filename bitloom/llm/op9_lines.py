@@ -139,6 +139,8 @@ _TRIMMED = (
 def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) of class ids whose words (texts: id, words) are alike."""
     near = written(pairs)
+    ids = written(near.select(F.col("u").alias("id")).unionAll(near.select(F.col("v").alias("id"))).distinct())
+    texts = texts.where(id_filter(ids, "id")(F.col("id")))
     both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
     both = both.repartition(near.count() // TASK_PAIRS + 1, "u", "v")  # by number, as the work does not go by bytes
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
@@ -153,12 +155,15 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 when levenshtein(ab.a, ab.b, most div 4) >= 0 then 0 else levenshtein(ab.a, ab.b, most) end"
     # Written before it is filtered, so that the filter is not pushed below what it reads.
     found = written(both.select("u", "v", F.expr(edits).alias("edits")))
-    drop(near)
+    drop(near, ids)
     return found.where("edits >= 0").select("u", "v")
 
 
-def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
-    """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared."""
+def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int, repeated=F.lit(True)):
+    """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared.
+
+    repeated: whether a line may occur more than once; the words of others are not shuffled.
+    """
     blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), F.col("size"), hamming, percent)
     marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
     keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
@@ -172,8 +177,11 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
         members = written(members.join(shared, "id", "left_anti"))
     compared = compared.where("not shared").drop("shared")
     # The map side of this sum takes a common line's occurrences together.
-    texts = lines.where(id_filter(compared, "h1")(F.col("h1"))).groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    texts = written(texts.join(compared, ["h1", "h2"], "left_semi").select(F.col("h1").alias("id"), "words"), 1)
+    wanted = lines.where(id_filter(compared, "h1")(F.col("h1")))
+    texts = wanted.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words")).join(compared, ["h1", "h2"], "left_semi")
+    texts = written(texts.select(F.col("h1").alias("id"), "words").unionByName(wanted.where(~repeated).select(F.col("h1").alias("id"), "words")), 1)
+    narrow = members.drop("h2")
+    narrow._bitloom_path = members._bitloom_path
     drop(met)
 
     def fits(other):
@@ -188,7 +196,7 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int):
         return _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
 
     found: list = []
-    left, _ = grown(members, marks, found, linked)
+    left, _ = grown(narrow, marks, found, linked)
     other = left.select("key", F.col("id").alias("v"), F.col("label").alias("l"), *[F.col(c).alias(f"o_{c}") for c in marks])
     more = left.select("key", "id", "label", *marks).join(other, "key").where(F.col("label") < F.col("l")).where(fits(lambda c: f"o_{c}"))
     more = _alike(more.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct(), texts, percent)
@@ -215,7 +223,7 @@ def duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", hamming
         long_ = F.col("size") >= 2 * PACKED_WORDS - 1
         classes = simhashes(distinct(lines.where(~long_)), False).unionByName(simhashes(distinct(lines.where(long_))))
     classes = written(classes)
-    found, compared = links(lines, classes, hamming, percent)
+    found, compared = links(lines, classes, hamming, percent, repeated)
     drop(classes)
     groups = written(connected_components(found).join(compared, "id").select("h1", "h2", "label"))
     in_group = id_filter(groups, "h1")
