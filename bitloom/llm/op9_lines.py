@@ -159,10 +159,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return found.where("edits >= 0").select("u", "v")
 
 
-def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int, repeated=F.lit(True)):
+def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int, repeated=None):
     """(u, v): links of class ids, enough of them to give every component; and (id, h1, h2) of the classes that were compared.
 
-    repeated: whether a line may occur more than once; the words of others are not shuffled.
+    repeated: whether a line may occur more than once (None: any may); the words of others are not shuffled.
     """
     blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), F.col("size"), hamming, percent)
     marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
@@ -177,6 +177,7 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int, repe
         members = written(members.join(shared, "id", "left_anti"))
     compared = compared.where("not shared").drop("shared")
     # The map side of this sum takes a common line's occurrences together.
+    repeated = F.lit(True) if repeated is None else repeated
     wanted = lines.where(id_filter(compared, "h1")(F.col("h1")))
     texts = wanted.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words")).join(compared, ["h1", "h2"], "left_semi")
     texts = written(texts.select(F.col("h1").alias("id"), "words").unionByName(wanted.where(~repeated).select(F.col("h1").alias("id"), "words")), 1)
