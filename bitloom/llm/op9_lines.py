@@ -3,7 +3,7 @@
 A line is normalised to its lower-case words (runs of letters; digits and marks are gaps). Lines of equal words form classes; classes
 link if their 64-bit SimHashes (over words) agree in two of HAMMING + 2 blocks and differ in at most CLOSE bits, and the edit similarity of
 their normalised texts, 1 - Levenshtein / longer length, is at least SIMILARITY. Two blocks always agree within HAMMING bits; beyond them
-it depends on where the bits lie (README has the share found). With `minima`, an option that finds nearly all pairs of that edit similarity
+it depends on where the bits lie (README has the share found; CLOSE is above HAMMING so that pairs that meet are not lost). With `minima`, an option that finds nearly all pairs of that edit similarity
 at several times the cost, classes are compared instead if LEAST_EQUAL of MINIMA minima of hashes over their word shingles are equal,
 two of one pair among them (LSH). Of each connected group the first occurrence stays (least
 document id, then line number), all other lines of it go. A line without words always stays.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import drop, id_filter, load, written
 from bitloom.llm.graph import connected_components, grown
 
-HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 2, 90, 1
+HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 4, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
