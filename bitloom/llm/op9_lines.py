@@ -142,7 +142,6 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     ids = written(near.select(F.col("u").alias("id")).unionAll(near.select(F.col("v").alias("id"))).distinct())
     texts = texts.where(id_filter(ids, "id")(F.col("id")))
     both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
-    both = both.repartition(near.count() // TASK_PAIRS + 1, "u", "v")  # by number, as the work does not go by bytes
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
     both = both.select("u", "v", "a", "b", most.alias("most"), F.expr("split(a, ' ')").alias("x"), F.expr("split(b, ' ')").alias("y"))
     # Bounds from above decide most pairs: the words that differ, if both have as many; else the longer rest without common ends.
@@ -151,8 +150,13 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = both.select("u", "v", "most", "sure", F.expr("if(sure, '', a)").alias("a"), F.expr("if(sure, '', b)").alias("b"))
     both = both.select("u", "v", "most", "sure", "a", "b", F.least(F.length("a"), F.length("b")).alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[0]).alias("ab"))
     both = both.select("u", "v", "most", "sure", "ab", F.expr("least(length(ab.a), length(ab.b))").alias("m")).select("u", "v", "most", "sure", F.expr(_TRIMMED[1]).alias("ab"))
+    both = both.select("u", "v", "most", "sure", F.expr("ab.a").alias("a"), F.expr("ab.b").alias("b"))
+    both = both.select("u", "v", "most", F.expr("sure or greatest(length(a), length(b)) <= most").alias("sure"), "a", "b")
+    both = both.select("u", "v", "most", "sure", F.expr("if(sure, '', a)").alias("a"), F.expr("if(sure, '', b)").alias("b"))
+    # What is left of the texts is dealt by number of pairs, as the work does not go by bytes.
+    both = both.repartition(near.count() // TASK_PAIRS + 1, "u", "v")
     # The distance costs its bound times the length: most links show within a quarter of the bound.
-    edits = "case when sure or greatest(length(ab.a), length(ab.b)) <= most then 0 when levenshtein(ab.a, ab.b, most div 4) >= 0 then 0 else levenshtein(ab.a, ab.b, most) end"
+    edits = "case when sure then 0 when levenshtein(a, b, most div 4) >= 0 then 0 else levenshtein(a, b, most) end"
     # Written before it is filtered, so that the filter is not pushed below what it reads.
     found = written(both.select("u", "v", F.expr(edits).alias("edits")))
     drop(near, ids)
