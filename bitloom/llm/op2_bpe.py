@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding in batched numpy merge rounds.
 
-Symbols of many words lie in one flat array. A round looks up all neighbouring pairs by binary search
-over the sorted pair keys, takes each word's lowest rank, and merges that pair's occurrences from the left in every
-word at once; rounds go on for words that still have a pair. Words are kept in a bounded table per
+Symbols of many words lie in one flat array. Ranks of neighbouring pairs are looked up in one table, in which the pairs of each left symbol
+are shifted to free places. A round takes each word's lowest rank, merges that pair's occurrences from the left in every
+word at once, and looks up the pairs beside them; rounds go on for words that still have a pair. Words are kept in a bounded table per
 Python worker, so a word costs merge rounds once per worker and not once per occurrence.
 
 The vocabulary file of the `tokenizers` library is read on the driver and travels once, as a Spark broadcast of a
@@ -30,6 +30,10 @@ from bitloom.llm.common import arrow_schema, ddl, load, pieces
 
 #: Words that a worker remembers at most, and characters of the longest of them.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Words whose merge rounds are done at once: their arrays stay within a processor's cache.
+MERGE_WORDS = 8_192
+#: Bytes of text that are split into words at once (or one text, if longer), so that a worker holds little beside its batch.
+PIECE_BYTES = 500_000
 #: White space (Unicode's White_Space), and the split of a normalised text.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -57,67 +61,100 @@ class Bpe:
         for token, i in self.special.items():
             self.tokens[i] = token
         self.size = len(self.tokens)
-        self.inner = np.array([vocab[x] for x in letters], np.int64)
-        self.last = np.array([vocab[x + end] for x in letters], np.int64)
+        self.inner = np.array([vocab[x] for x in letters], np.int32)
+        self.last = np.array([vocab[x + end] for x in letters], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        left = np.array([vocab[a] for a, _ in pairs], np.int64)
-        right = np.array([vocab[b] for _, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        left = np.array([vocab[a] for a, _ in pairs], np.int32)
+        right = np.array([vocab[b] for _, b in pairs], np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self._place(left, right)
         # A merge whose product takes part in an earlier merge has to be done one occurrence at a time.
         first_use = np.full(self.size, len(pairs), np.int64)
         for part in (left, right):
             np.minimum.at(first_use, part, np.arange(len(pairs)))
-        self.alone = (first_use[made] < np.arange(len(pairs)))[order]
+        self.alone = first_use[self.made] < np.arange(len(pairs))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _place(self, left: np.ndarray, right: np.ndarray) -> None:
+        """The table of pairs: (left, right) lies at base[left] + right, where `at` has its rank and `of` its left symbol.
+
+        The left symbols with most pairs are placed first, each where all of its pairs find a free place (drawn, with a fixed seed).
+        """
+        places = 1 << max(self.size - 1, 4 * len(left), 1).bit_length()
+        self.mask, self.none = places - 1, len(left)
+        self.base, self.of, self.at = np.zeros(self.size, np.int32), np.full(places, -1, np.int32), np.full(places, self.none, np.int32)
+        order = np.argsort(left, kind="stable")
+        draw = np.random.default_rng(1)
+        for group in sorted(np.split(order, np.flatnonzero(np.diff(left[order])) + 1), key=len, reverse=True) if len(left) else []:
+            while True:
+                bases = draw.integers(0, places, 32, np.int32)
+                free = np.flatnonzero((self.of[(bases[:, None] + right[group]) & self.mask] < 0).all(1))
+                if len(free):
+                    break
+            first = left[group[0]]
+            self.base[first] = bases[free[0]]
+            self.of[(self.base[first] + right[group]) & self.mask] = first
+            self.at[(self.base[first] + right[group]) & self.mask] = group
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, `none` for what is no pair."""
+        place = (self.base[left] + right) & self.mask
+        return np.where(self.of[place] == left, self.at[place], self.none)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each of the words (not empty)."""
+        ids, ends = self.merged(words)
+        return np.split(ids, ends[:-1])
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words (not empty) in one array, and where each word's ids end."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.inner[data]
         ends = np.cumsum(sizes)
         symbols[ends - 1] = self.last[data[ends - 1]]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        # ranks: of each symbol with the next one of its word
+        ranks = np.append(self._ranks(symbols[:-1], symbols[1:]), np.int32(self.none))
+        ranks[ends - 1] = self.none
         done_symbols, done_owner = [], []
-        while len(symbols) > 1:
-            keys = symbols[:-1] * self.size + symbols[1:]
-            at = np.searchsorted(self.keys, keys)
-            at[at == len(self.keys)] = 0
-            known = (self.keys[at] == keys) & (owner[:-1] == owner[1:])
-            here = np.flatnonzero(known)
+        while True:
+            here = np.flatnonzero(ranks != self.none)
             if not len(here):
                 break
-            ranks, whose = self.ranks[at[here]], owner[here]
+            own, whose = ranks[here], owner[here]
             starts = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
-            least = np.minimum.reduceat(ranks, starts)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(here)]))
-            best = here[ranks == least[group]]
-            single = self.alone[at[best]]
+            least = np.minimum.reduceat(own, starts)
+            best = here[own == np.repeat(least, np.diff(np.r_[starts, len(here)]))]
+            single = self.alone[ranks[best]]
             if single.any():
                 keep = ~single
                 keep[np.r_[True, owner[best][1:] != owner[best][:-1]]] = True
                 best = best[keep]
-            run = np.r_[True, (np.diff(best) != 1) | (owner[best[1:]] != owner[best[:-1]])]
-            place = np.arange(len(best)) - np.maximum.accumulate(np.where(run, np.arange(len(best)), 0))
-            best = best[place % 2 == 0]
-            symbols[best] = self.made[at[best]]
+            if len(best) > len(starts):  # several merges in one word: runs of neighbours are taken two by two
+                run = np.r_[True, (np.diff(best) != 1) | (owner[best[1:]] != owner[best[:-1]])]
+                place = np.arange(len(best)) - np.maximum.accumulate(np.where(run, np.arange(len(best)), 0))
+                best = best[place % 2 == 0]
+            symbols[best] = self.made[ranks[best]]
             stay = np.ones(len(symbols), bool)
             stay[best + 1] = False
-            symbols, owner = symbols[stay], owner[stay]
+            symbols, owner, ranks = symbols[stay], owner[stay], ranks[stay]
+            # Only the pairs on both sides of what was merged are new.
+            new = best - np.arange(len(best))
+            new = np.r_[new, new[new > 0] - 1]
+            new = new[new < len(symbols) - 1]
+            ranks[new] = np.where(owner[new] == owner[new + 1], self._ranks(symbols[new], symbols[new + 1]), self.none)
+            ranks[-1] = self.none
             active = np.zeros(len(words), bool)
-            active[whose] = True
+            active[whose[starts]] = True
             over = ~active[owner]
             if over.sum() * 2 > len(over):  # words without pairs leave the array
                 done_symbols.append(symbols[over])
                 done_owner.append(owner[over])
-                symbols, owner = symbols[~over], owner[~over]
+                symbols, owner, ranks = symbols[~over], owner[~over], ranks[~over]
         symbols, owner = np.concatenate([*done_symbols, symbols]), np.concatenate([*done_owner, owner])
         order = np.argsort(owner, kind="stable")
-        cuts = np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]
-        return np.split(symbols[order].astype("<u4"), cuts)
+        return symbols[order].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(words)))
 
 
 def _normal(text: str) -> str:
@@ -131,18 +168,29 @@ class Encoder:
     def __init__(self, bpe: Bpe):
         self.bpe, self.known = bpe, {}
 
-    def _learn(self, chunks) -> dict:
-        """Ids (as bytes) of chunks between white space, from the table or by merge rounds."""
-        new = list(chunks)
-        parts = [[w.encode() for w in WORD.findall(c)] for c in new]
-        words = list(dict.fromkeys(w for p in parts for w in p))
-        ids = {w: i.tobytes() for w, i in zip(words, self.bpe.merge(words))} if words else {}
-        return {c: b"".join([ids[w] for w in p]) for c, p in zip(new, parts)}
+    def _learn(self, chunks) -> None:
+        """Puts the ids (as bytes) of chunks between white space into the table, by merge rounds."""
+        known, several, words = self.known, {}, set()
+        for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():
+                words.add(chunk)
+            else:
+                parts = WORD.findall(chunk)
+                if len(parts) != 1:
+                    several[chunk] = parts
+                words.update(parts)  # a word by itself is a chunk of one word
+        words = list(words.difference(known))
+        for i in range(0, len(words), MERGE_WORDS):
+            part = words[i : i + MERGE_WORDS]
+            ids, ends = self.bpe.merged([w.encode() for w in part])
+            ids, ends = ids.tobytes(), (ends * 4).tolist()
+            known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        get = known.__getitem__
+        known.update({c: b"".join(map(get, parts)) for c, parts in several.items()})
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        rows, missing = [], set()
-        known = self.known
+        rows, used = [], set()
         for text in texts:
             row = []
             for k, piece in enumerate(self.bpe.split.split(text) if self.bpe.split and "<|" in text else [text] if text else []):
@@ -152,33 +200,29 @@ class Encoder:
                     normal = _normal(piece)
                     chunks = [x for x in SPACES.split(normal) if x] if ODD_SPACE.search(normal) else normal.split()
                     row.append((None, chunks))
-                    missing.update(chunks)
+                    used.update(chunks)
             rows.append(row)
-        missing = [c for c in missing if c not in known]
-        extra = self._learn(missing)
-        if len(known) + len(extra) > CACHE_WORDS:
-            extra = {**{c: known[c] for row in rows for _, chunks in row if chunks for c in chunks if c in known}, **extra}
-            known = self.known = {}
-        table = extra if not known else _Both(known, extra)
-        get = table.__getitem__
+        self._learn(used.difference(self.known))
+        get = self.known.__getitem__
         out = [b"".join([b"".join(map(get, chunks)) if chunks is not None else np.array([self.bpe.special[token]], "<u4").tobytes() for token, chunks in row]) for row in rows]
-        known.update((c, i) for c, i in extra.items() if len(c) <= CACHE_CHARS) if len(known) + len(extra) <= CACHE_WORDS else None
+        self._forget(used)
         return out
 
+    def _forget(self, used: set) -> None:
+        """Holds the table to CACHE_WORDS words, those of the last texts first."""
+        long_ = [c for c in used if len(c) > CACHE_CHARS]
+        for c in long_:
+            for x in (c, *WORD.findall(c)):
+                self.known.pop(x, None) if len(x) > CACHE_CHARS else None
+        if len(self.known) > CACHE_WORDS:
+            stay = [c for c in used if c in self.known]
+            self.known = {c: self.known[c] for c in stay} if len(stay) <= CACHE_WORDS else {}
+
     def decode(self, ids: bytes) -> str:
         """The library's decode() without a decoder part: the tokens' strings with a blank between them."""
         return " ".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
-
-
 _SCHEMA = arrow_schema(ids="binary", decoded="string", n_tokens="long", ids_sha256="string", decoded_sha256="string")
 _WORKER: dict = {}
 
@@ -201,7 +245,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", keep=("doc_
             _WORKER.update(of=tokenizer, encoder=Encoder(shared.value))
         encoder = _WORKER["encoder"]
         for whole in batches:
-            for batch in pieces(whole, "text", 2_000_000):
+            for batch in pieces(whole, "text", PIECE_BYTES):
                 coded = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
                 back = [encoder.decode(x) for x in coded]
                 columns = {"ids": coded, "decoded": back, "n_tokens": [len(x) // 4 for x in coded], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in coded], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back]}

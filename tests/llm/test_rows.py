@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,19 @@ def test_bpe_small_cache(monkeypatch, library):
     assert len(e.known) <= 5
 
 
+def test_bpe_memory_of_new_words(library):
+    """Words that are all new take bounded arrays: the rounds of all 120,000 at once took 121 MB."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghijklmnoprstuvwy.", k=rng.randrange(6, 15))) for _ in range(120_000))
+    e = op2_bpe.Encoder(op2_bpe.Bpe(op2_bpe.read_spec(op2_bpe.default_tokenizer())))
+    tracemalloc.start()
+    got = e.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert peak < 80e6
+
+
 def test_merge_order():
     """Products that take part in earlier merges are merged one occurrence at a time."""
     letters = op2_bpe.byte_letters()
