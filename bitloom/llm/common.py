@@ -52,27 +52,37 @@ def _remove(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's setting for the rows of an Arrow batch at most.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
-def cleaned(spark: SparkSession):
-    """Shuffle files of the queries that run within are deleted when each ends, not when the driver's collector finds them."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def cleaned(spark: SparkSession, batch: int = 0):
+    """Shuffle files of the queries that run within are deleted when each ends, not when the driver's collector finds them.
+
+    batch: rows of an Arrow batch at most; 0: the session's setting.
+    """
+    settings = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def written(df: DataFrame, level: int = 0) -> DataFrame:
+def written(df: DataFrame, level: int = 0, batch: int = 0) -> DataFrame:
     """df cut from its lineage: written to the shared folder and read back. Its shuffle files go at once, the table with drop().
 
-    level: of zstd, for large tables of text; 0: the session's compression.
+    level: of zstd, for large tables of text; 0: the session's compression. batch: as in cleaned().
     """
     path = f"{work_dir(df.sparkSession)}/t"
-    with cleaned(df.sparkSession):
+    with cleaned(df.sparkSession, batch):
         writer = df.write
         if level:
             writer = writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))

@@ -22,6 +22,8 @@ from bitloom.llm import op1_jaccard, op2_bpe, op7_winnowing, op8_langid, op9_lin
 from bitloom.llm.common import id_filter, load, written
 
 MIN_SCORE = 0.5
+#: Documents of an Arrow batch in bpe.
+BPE_BATCH = 500
 #: SQL has no PPM trees and no SimHash; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
@@ -59,7 +61,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op2_bpe.encode_decode(docs, op2_bpe.default_tokenizer(), keep=("doc_id", "lang", "source"))
+    # An executor is full from the stages before: whole texts go to Python in small batches.
+    return written(op2_bpe.encode_decode(docs, op2_bpe.default_tokenizer(), keep=("doc_id", "lang", "source")), batch=BPE_BATCH)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("bpe", bpe)]

@@ -1,10 +1,11 @@
 """The pipeline against a brute-force version of its stages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from bitloom.llm import op2_bpe
+from bitloom.llm import common, op2_bpe
 from tests.llm.test_pairs import hits_truth, jaccard_truth, lines_truth
 
 
@@ -48,3 +49,21 @@ def test_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(30).selectExpr("*", "1 as score", "'x' as lang_pred", "2 as n")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_bpe_batches(spark, small, monkeypatch):
+    """The last stage hands whole texts to Python in small batches, and leaves the session's setting as it was."""
+    before = spark.conf.get(common.BATCH_ROWS)
+
+    def sizes(df, *a, **b):
+        def apply(batches):
+            for x in batches:
+                yield pa.RecordBatch.from_pydict({"n": [x.num_rows]})
+
+        return df.select("doc_id").mapInArrow(apply, "n bigint")
+
+    monkeypatch.setattr(op2_bpe, "encode_decode", sizes)
+    docs = spark.range(3000).selectExpr("id as doc_id").coalesce(1)
+    got = [r.n for r in corpus_pipeline.bpe(spark, docs, small).collect()]
+    assert sum(got) == 3000 and max(got) <= corpus_pipeline.BPE_BATCH
+    assert spark.conf.get(common.BATCH_ROWS) == before
