@@ -92,6 +92,43 @@ def grown(members: DataFrame, sizes, links: list, verified: Callable[[DataFrame,
     return rows, labels
 
 
+#: Pairs are verified at once when so few are left; rounds by component end when less than this share of their pairs are links.
+FEW_PAIRS, MOST_LINKS = 8_000, 0.5
+
+
+def chosen(pairs: DataFrame, links: list, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): links, `links` among them, that give the components of all links among the pairs (u, v, apart), not each of these links.
+
+    Pairs of one component are not verified. First each component has one pair verified in each round, that of least `apart`; then one
+    pair of every two components; then all that are left between different ones.
+    """
+    links, rest, by, used = list(links), pairs, 0, ()
+    while True:
+        if links:
+            labels = connected_components(_union(links))
+            for end, label in ("u", "a"), ("v", "b"):
+                rest = rest.join(labels.select(F.col("id").alias(end), F.col("label").alias(label)), end, "left").withColumn(label, F.coalesce(label, end))
+            rest = rest.where("a <> b")
+        else:
+            rest = rest.withColumn("a", F.col("u")).withColumn("b", F.col("v"))
+        rows = written(rest.select("u", "v", "apart", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        drop(*used)
+        if by == 2 or rows.count() <= FEW_PAIRS:
+            links.append(verified(rows.select("u", "v")))
+            drop(rows)
+            return _union(links)
+        first = F.min(F.struct("apart", F.xxhash64("u", "v").alias("h"), "u", "v")).alias("x")
+        if by:
+            some = rows.groupBy("a", "b").agg(first)
+        else:
+            some = rows.unionByName(rows.select("u", "v", "apart", F.col("b").alias("a"), "b")).groupBy("a").agg(first)
+        some = written(some.select("x.u", "x.v").distinct())
+        new = verified(some)
+        links.append(new)
+        by += by == 1 or new.count() < MOST_LINKS * some.count()
+        rest, used = rows.join(some, ["u", "v"], "left_anti").select("u", "v", "apart"), (rows, some)
+
+
 def _union(tables: list) -> DataFrame:
     found = tables[0]
     for table in tables[1:]:

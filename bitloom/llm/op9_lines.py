@@ -8,9 +8,10 @@ at several times the cost, classes are compared instead if LEAST_EQUAL of MINIMA
 two of one pair among them (LSH). Of each connected group the first occurrence stays (least
 document id, then line number), all other lines of it go. A line without words always stays.
 
-Candidates: classes meet by pairs of blocks (pigeonhole) within a length class, or by pairs of minima. Members of a meeting place are first paired with one of them, drawn by hash (a star, in
-rounds until few pairs are open); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
-yields no square of pairs and no link between components is lost. Classes that share a place but never link are all compared. SimHash bits are summed four to a long, 16 bits each.
+Candidates: classes meet by pairs of blocks (pigeonhole) within a length class, or by pairs of minima. Members of a large meeting place (over PAIRED) are first paired with one of them,
+drawn by hash (a star, in rounds until few pairs are open); components of what is verified follow, and then only pairs of different components meet, so a group of thousands of variants
+yields no square of pairs and no link between components is lost. Members of a small place are all paired, by their hashes and lengths alone. Of the pairs that fit, those between different
+components are verified, the likely ones first (graph.chosen), so that few are within what is linked already. Classes that fit but never link are all compared. SimHash bits are summed four to a long, 16 bits each.
 
 Common lines are counted with map-side sums before anything is joined; joins with a side of unique keys are left to the skew join.
 
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import drop, id_filter, load, written
-from bitloom.llm.graph import connected_components, grown
+from bitloom.llm.graph import chosen, connected_components, grown
 
 HAMMING, CLOSE, SIMILARITY_PERCENT, MIN_WORDS = 2, 4, 90, 1
 #: Pairs whose edit distances one task takes.
 TASK_PAIRS = 4_000
+#: Members of a key at most that are all paired at once; those of larger ones are first led by stars.
+PAIRED = 64
 #: Minima of shingle hashes, for candidates of edit similarity alone, and how many of a pair's are equal at least; words of a shingle, and of
 #: one of a line of fewer than SHORT words.
 MINIMA, LEAST_EQUAL, SHINGLE, SHORT_SHINGLE, SHORT = 12, 4, 3, 2, 12
@@ -136,13 +139,47 @@ _TRIMMED = (
 )
 
 
+#: Characters that are counted in each text, the rest as one more; counts up to MOST_COUNTED go into four lanes of 16 bits of a number.
+COUNTED, MOST_COUNTED = "etanirsohd ", (1 << 15) - 1
+
+
+def counted(words):
+    """Columns c0, c1, ...: how often the characters COUNTED and any others stand in a text, packed."""
+    n = F.length(words)
+    counts = [n - F.length(F.replace(words, F.lit(c))) for c in COUNTED]
+    rest = n
+    for c in counts:
+        rest = rest - c
+    lanes = [F.least(c, F.lit(MOST_COUNTED)).cast("bigint") for c in [*counts, rest]]
+    packed = []
+    for at in range(0, len(lanes), 4):
+        one = lanes[at]
+        for k, lane in enumerate(lanes[at + 1 : at + 4], 1):
+            one = one.bitwiseOR(F.call_function("shiftleft", lane, F.lit(16 * k)))
+        packed.append(one.alias(f"c{at // 4}"))
+    return packed
+
+
+def least_edits(x: list, y: list):
+    """A bound from below for the edit distance of two texts by their counted() columns: characters that one has more often than the other."""
+    lanes = [_shift(a, 16 * k).bitwiseAND(MOST_COUNTED) - _shift(b, 16 * k).bitwiseAND(MOST_COUNTED) for a, b in zip(x, y) for k in range(4)]
+    more, fewer = F.lit(0), F.lit(0)
+    for d in lanes:
+        more, fewer = more + F.greatest(d, F.lit(0)), fewer + F.greatest(-d, F.lit(0))
+    return F.greatest(more, fewer)
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of class ids whose words (texts: id, words) are alike."""
+    """Those of the pairs (u, v) of class ids whose words (texts: id, words, counted()) are alike."""
     near = written(pairs)
     ids = written(near.select(F.col("u").alias("id")).unionAll(near.select(F.col("v").alias("id"))).distinct())
     texts = texts.where(id_filter(ids, "id")(F.col("id")))
-    both = near.join(texts.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
+    counts = [c for c in texts.columns if c not in ("id", "words")]
+    end = lambda id_, words, mark: texts.select(F.col("id").alias(id_), F.col("words").alias(words), *[F.col(c).alias(mark + c) for c in counts])
+    both = near.join(end("u", "a", "a_"), "u").join(end("v", "b", "b_"), "v")
     most = F.expr(f"cast(greatest(length(a), length(b)) * {100 - percent} div 100 as int)")
+    # Counts of characters tell about half of the pairs that are not alike before anything is done with their texts.
+    both = both.where(least_edits([F.col(f"a_{c}") for c in counts], [F.col(f"b_{c}") for c in counts]) <= most)
     both = both.select("u", "v", "a", "b", most.alias("most"), F.expr("split(a, ' ')").alias("x"), F.expr("split(b, ' ')").alias("y"))
     # Bounds from above decide most pairs: the words that differ, if both have as many; else the longer rest without common ends.
     words = "aggregate(zip_with(x, y, (p, q) -> if(p = q, 0, greatest(length(p), length(q)))), 0, (s, n) -> s + n)"
@@ -171,43 +208,62 @@ def links(lines: DataFrame, classes: DataFrame, hamming: int, percent: int, repe
     blocks = F.col("keys") if "keys" in classes.columns else block_keys(F.col("simhash"), F.col("size"), hamming, percent)
     marks = ("simhash", "size", "a", "b") if "a" in classes.columns else ("simhash", "size")
     keys = classes.select("h1", "h2", *marks, F.explode_outer(blocks).alias("key"))
-    met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", F.col("h1").alias("id"), "h2", *marks)
+    met = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = keys.where(id_filter(met, "key")(F.col("key"))).join(met, "key").select("key", F.col("h1").alias("id"), "h2", *marks, (F.col("n") > PAIRED).alias("large"))
     members = written(members)
+
+    def fits(x, y):
+        """Whether two classes, by functions that name their columns, may be alike, and a number that is small if that is likely."""
+        least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+        bits = F.bit_count(x("simhash").bitwiseXOR(y("simhash")))
+        close = bits <= CLOSE
+        if "a" in marks:
+            equal = equal_lanes(x("a"), y("a")) + equal_lanes(x("b"), y("b"))
+            bits, close = MINIMA - equal, equal >= LEAST_EQUAL
+        return close & (least * 100 >= most * percent), (bits + F.floor((most - least) * 100 / most)).cast("int")
+
+    def paired(rows: DataFrame, by: str) -> DataFrame:
+        """(u, v, apart): the pairs within keys that differ in the column `by` and fit."""
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        fit, apart = fits(x, y)
+        pairs = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).where((x(by) < y(by)) & fit)
+        return pairs.select(F.least(x("id"), y("id")).alias("u"), F.greatest(x("id"), y("id")).alias("v"), apart.alias("apart")).distinct()
+
+    pairs = written(paired(members.where("not large").select("key", "id", *marks), "id"))
+    large = members.where("large").select("id", "key", *marks)
+    asked = written(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).unionAll(large.select("id")).distinct())
     # h1 stands for a class. Where two classes that meet others share it, they are left to exact repeats.
-    compared = written(members.groupBy("id").agg(F.min("h2").alias("h2"), F.max("h2").alias("most")).select("id", F.col("id").alias("h1"), "h2", (F.col("h2") < F.col("most")).alias("shared")))
+    compared = members.where(id_filter(asked, "id")(F.col("id"))).groupBy("id").agg(F.min("h2").alias("h2"), F.max("h2").alias("most")).join(asked, "id", "left_semi")
+    compared = written(compared.select("id", F.col("id").alias("h1"), "h2", (F.col("h2") < F.col("most")).alias("shared")))
+    drop(met, asked)
     shared = compared.where("shared").select("id")
     if not shared.isEmpty():
-        members = written(members.join(shared, "id", "left_anti"))
+        large = large.join(shared, "id", "left_anti")
+        pairs = pairs.join(shared.select(F.col("id").alias("u")), "u", "left_anti").join(shared.select(F.col("id").alias("v")), "v", "left_anti")
     compared = compared.where("not shared").drop("shared")
     # The map side of this sum takes a common line's occurrences together.
     repeated = F.lit(True) if repeated is None else repeated
     wanted = lines.where(id_filter(compared, "h1")(F.col("h1")))
     texts = wanted.where(repeated).groupBy("h1", "h2").agg(F.first("words").alias("words")).join(compared, ["h1", "h2"], "left_semi")
-    texts = written(texts.select(F.col("h1").alias("id"), "words").unionByName(wanted.where(~repeated).select(F.col("h1").alias("id"), "words")), 1)
-    narrow = members.drop("h2")
-    narrow._bitloom_path = members._bitloom_path
-    drop(met)
-
-    def fits(other):
-        s, n, *lanes = (F.col(other(c)) for c in marks)
-        close = F.bit_count(F.col("simhash").bitwiseXOR(s)) <= CLOSE
-        if lanes:
-            close = equal_lanes(F.col("a"), lanes[0]) + equal_lanes(F.col("b"), lanes[1]) >= LEAST_EQUAL
-        return close & (F.least("size", n) * 100 >= F.greatest("size", n) * percent)
+    texts = texts.select(F.col("h1").alias("id"), "words").unionByName(wanted.where(~repeated).select(F.col("h1").alias("id"), "words"))
+    texts = written(texts.select("id", "words", *counted(F.col("words"))), 1)
 
     def linked(rows: DataFrame, turn: int) -> DataFrame:
-        pairs = rows.where((F.col("label") != F.col("lead_label")) & fits(lambda c: f"lead_{c}")).groupBy("id").agg(F.min("lead").alias("lead"))
-        return _alike(pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
+        fit, _ = fits(F.col, lambda c: F.col(f"lead_{c}"))
+        stars = rows.where((F.col("label") != F.col("lead_label")) & fit).groupBy("id").agg(F.min("lead").alias("lead"))
+        return _alike(stars.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), texts, percent)
 
     found: list = []
-    left, _ = grown(narrow, marks, found, linked)
-    other = left.select("key", F.col("id").alias("v"), F.col("label").alias("l"), *[F.col(c).alias(f"o_{c}") for c in marks])
-    more = left.select("key", "id", "label", *marks).join(other, "key").where(F.col("label") < F.col("l")).where(fits(lambda c: f"o_{c}"))
-    more = _alike(more.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct(), texts, percent)
-    drop(left, texts)
-    for one in found:
-        more = more.unionAll(one)
+    large = written(large)
+    if large.isEmpty():
+        drop(large)
+    else:
+        left, _ = grown(large, marks, found, linked)
+        pairs = written(pairs.unionByName(paired(left.select("key", "id", "label", *marks), "label")).distinct())
+        drop(left)
+    drop(members)
+    more = chosen(pairs, found, lambda some: _alike(some, texts, percent))
+    drop(texts)
     return more, compared
 
 

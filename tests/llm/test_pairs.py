@@ -438,3 +438,57 @@ def test_lines_recall(spark, tmp_path):
     removed = {r.doc_id: r.n_removed for r in op9_lines.dedup(docs, minima=op9_lines.MINIMA).select("row.doc_id", "n_removed").collect()}
     assert all(removed[k] == 0 for k in range(0, 200, 2))
     assert sum(removed.values()) >= 0.95 * 100
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_chosen_pairs(spark, monkeypatch, few):
+    """Components of all links, for which pairs within what is linked already are not verified."""
+    monkeypatch.setattr(graph, "FEW_PAIRS", few)
+    rng = random.Random(4)
+    group = {i: i // 40 if i < 120 else i for i in range(160)}
+    alike = {(a, b) for a, b in itertools.combinations(group, 2) if group[a] == group[b] and (b - a == 1 or rng.random() < 0.7)}
+    far = {(a, b) for a, b in itertools.combinations(group, 2) if group[a] != group[b] and rng.random() < 0.02}
+    rows = [(a, b, rng.choice([0, 1])) for a, b in alike] + [(a, b, rng.choice([1, 2])) for a, b in far]
+    asked = []
+
+    def verified(some):
+        asked.extend((r.u, r.v) for r in some.collect())
+        return common.written(some.join(spark.createDataFrame(sorted(alike), "u bigint, v bigint"), ["u", "v"]))
+
+    pairs = spark.createDataFrame(rows, "u bigint, v bigint, apart int")
+    given = spark.createDataFrame([(0, 1), (40, 41)], "u bigint, v bigint")
+    got = {r.id: r.label for r in graph.connected_components(graph.chosen(pairs, [given], verified)).collect()}
+    want = components(group, sorted(alike))
+    assert got == {i: want[i] for i in group if group[i] < 3}
+    assert len(asked) == len(set(asked)) and {p for p in far} <= set(asked)
+    if not few:
+        assert len(asked) < len(far) + len(alike) / 3
+
+
+def test_least_edits(spark):
+    """Never more than the edit distance, and enough for a text of other letters."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("etanirsohdlcuxé", k=rng.randrange(1, 9)))
+    rows = [("eeee", "xxxx"), ("e" * 40_000, "e" * 40_010), ("ab", "ab")]
+    while len(rows) < 120:
+        a = " ".join(word() for _ in range(rng.randrange(1, 12)))
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            b[rng.randrange(len(b))] = rng.choice(["", "e", "x", " ", "é", "tt"])
+        rows += [(a, "".join(b)), (a, " ".join(word() for _ in range(5)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    sides = [[c.alias(f"{s}{k}") for k, c in enumerate(op9_lines.counted(F.col(s)))] for s in "ab"]
+    bound = op9_lines.least_edits(*[[F.col(f"{s}{k}") for k in range(3)] for s in "ab"])
+    got = df.select("i", *sides[0], *sides[1]).select("i", bound.alias("least")).collect()
+    for r in got:
+        a, b = rows[r.i]
+        assert r.least <= (10 if len(a) > 1000 else distance(a, b))
+    assert {r.i: r.least for r in got}[0] == 4
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_lines_of_large_and_small_places(spark, monkeypatch, most):
+    """Meeting places above and below PAIRED, and rounds by component, give what brute force gives."""
+    monkeypatch.setattr(op9_lines, "PAIRED", most)
+    monkeypatch.setattr(graph, "FEW_PAIRS", 0)
+    test_lines(spark)
